@@ -1,4 +1,452 @@
-"""Queries of the engine's own operators, and their DuckDB SQL."""
+"""Queries of the engine's own operators over the supplied tables, and their DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scalars
+from .operators import analysis, projection, queueing, search, tables
+from .relations import CTES, over_tables
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, relations: bool = True):
+    """Register a query under its function's name; ``sql`` may use the relations as CTEs."""
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = f"WITH {CTES} {', ' + sql[5:] if sql.startswith('WITH ') else sql}" if relations else sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# -- scans, projection, predicates -------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_totalprice * 2 AS doubled, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS state, coalesce(o_orderpriority, '') AS priority FROM orders", relations=False)
+def scan_project(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") * 2).alias("doubled"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("open").alias("state"), F.coalesce("o_orderpriority", F.lit("")).alias("priority"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_returnflag IN ('A', 'R') AND NOT (l_discount > 0.05) AND l_shipdate IS NOT NULL", relations=False)
+def filter_predicates(spark, d):
+    c = F.col
+    return _t(spark, d, "lineitem").where(c("l_quantity").between(10, 20) & c("l_returnflag").isin("A", "R") & ~(c("l_discount") > 0.05) & c("l_shipdate").isNotNull()).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE 's%_t%' OR p_brand LIKE 'Brand#1!_%' ESCAPE '!'", relations=False)
+def like_filter(spark, d):
+    return _t(spark, d, "part").where("p_name LIKE 's%_t%' OR p_brand LIKE 'Brand#1!_%' ESCAPE '!'").select("p_partkey", "p_name")
+
+
+@query("SELECT _file_, document_id, step_id, source FROM steps WHERE document_id = 'c7' ORDER BY 1, 2, 3 LIMIT 51")
+def find_identity(spark, d):
+    return analysis.find(over_tables(spark, d).steps.select("_file_", "document_id", "step_id", "source"), 50, document_id="c7")
+
+
+@query("SELECT append_pos, session_id, kind FROM log WHERE append_pos >= 100 AND append_pos < 900")
+def event_range_scan(spark, d):
+    return projection.append_range(over_tables(spark, d).events, 100, 900).select("append_pos", "session_id", "kind")
+
+
+@query("SELECT append_pos, session_id, kind FROM log WHERE session_id IN ('s3', 's5', 's8')")
+def keyed_history_scan(spark, d):
+    return projection.history(over_tables(spark, d).events, ["s3", "s5", "s8"]).select("append_pos", "session_id", "kind")
+
+
+@query("SELECT _file_, count(*)::BIGINT AS n FROM steps WHERE _file_ IN ('part-1', 'part-3') AND _file_ LIKE 'part-%' GROUP BY _file_")
+def file_pruned_scan(spark, d):
+    return over_tables(spark, d).steps.where("_file_ IN ('part-1', 'part-3') AND _file_ LIKE 'part-%'").groupBy("_file_").agg(F.count("*").alias("n"))
+
+
+@query("SELECT append_pos, event_id, substr(payload, 1, 5) AS preview FROM log WHERE session_id = 's3'")
+def content_preview(spark, d):
+    return over_tables(spark, d).events.where("session_id = 's3'").select("append_pos", "event_id", F.substring("payload", 1, 5).alias("preview"))
+
+
+# -- joins ------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, n_name, count(*)::BIGINT AS orders FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY c_custkey, n_name", relations=False)
+def inner_join(spark, d):
+    # orders are counted per customer before they meet anything
+    counted = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"))
+    return counted.join(_t(spark, d, "customer"), "c_custkey").join(F.broadcast(_t(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "n_name", "orders")
+
+
+@query("SELECT r._file_, r.document_id, count(s.step_id)::BIGINT AS steps FROM runs r LEFT JOIN steps s ON s._file_ = r._file_ AND s.document_id = r.document_id AND s.source = 'system' GROUP BY 1, 2")
+def left_join(spark, d):
+    r = over_tables(spark, d)
+    return r.runs.join(r.steps.where("source = 'system'").groupBy(analysis.DOCUMENT).agg(F.count("*").alias("steps")), analysis.DOCUMENT, "left").select(*analysis.DOCUMENT, F.coalesce("steps", F.lit(0)).alias("steps"))
+
+
+@query("SELECT s.document_id, count(*)::BIGINT AS pairs FROM steps s JOIN calls t ON s.document_id = t.document_id WHERE s.source = 'agent' GROUP BY 1")
+def cross_dataset_join(spark, d):
+    r = over_tables(spark, d)
+    calls = r.tool_calls.groupBy("document_id").agg(F.count("*").alias("t"))
+    return r.steps.where("source = 'agent'").groupBy("document_id").agg(F.count("*").alias("s")).join(calls, "document_id").select("document_id", (F.col("s") * F.col("t")).alias("pairs"))
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)", relations=False)
+def semi_join(spark, d):
+    big = _t(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return _t(spark, d, "customer").join(big, "c_custkey", "left_semi").select("c_custkey")
+
+
+@query("WITH a AS (SELECT DISTINCT user_id, event_id % 50 AS k FROM events WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id, event_id % 50 AS k FROM events WHERE event_type = 'view') "
+       "SELECT user_id, k, 'missing' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT user_id, k, 'extra' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)", relations=False)
+def anti_reconcile(spark, d):
+    keys = lambda kind: _t(spark, d, "events").where(F.col("event_type") == kind).select("user_id", (F.col("event_id") % 50).alias("k")).distinct()
+    return projection.reconcile(keys("click"), keys("view"), ["user_id", "k"])
+
+
+@query("SELECT document_id, (SELECT count(*) FROM steps s WHERE s._file_ = r._file_ AND s.document_id = r.document_id)::BIGINT AS steps, (SELECT count(*) FROM runs)::BIGINT AS runs FROM runs r")
+def scalar_subquery_counts(spark, d):
+    r = over_tables(spark, d)
+    steps = r.steps.groupBy(analysis.DOCUMENT).agg(F.count("*").alias("steps"))
+    return r.runs.join(steps, analysis.DOCUMENT, "left").join(r.runs.agg(F.count("*").alias("runs"))).select("document_id", F.coalesce("steps", F.lit(0)).alias("steps"), "runs")
+
+
+@query("WITH s AS (SELECT session_id, append_pos, call_id, kind FROM log) SELECT t.append_pos AS turn, e.append_pos AS event FROM s t JOIN s e ON t.session_id = e.session_id AND t.call_id = e.call_id WHERE t.kind = 'llm.request' AND e.kind <> 'llm.request'")
+def turn_event_link(spark, d):
+    e = over_tables(spark, d).events
+    turns = e.where("kind = 'llm.request'").select("session_id", "call_id", F.col("append_pos").alias("turn"))
+    return turns.join(e.where("kind <> 'llm.request'").select("session_id", "call_id", F.col("append_pos").alias("event")), ["session_id", "call_id"]).select("turn", "event")
+
+
+# -- analyses -----------------------------------------------------------------------------------------
+
+
+@query("""SELECT (SELECT count(*) FROM runs)::BIGINT AS trajectories, (SELECT count(DISTINCT agent_id) FROM runs)::BIGINT AS agents, (SELECT count(*) FROM steps)::BIGINT AS steps,
+    (SELECT count(*) FROM steps WHERE source = 'user')::BIGINT AS user_steps, (SELECT count(*) FROM steps WHERE source = 'agent')::BIGINT AS agent_steps, (SELECT count(*) FROM calls)::BIGINT AS tool_calls,
+    (SELECT count(DISTINCT m) FROM (SELECT agent_model_name AS m FROM runs UNION SELECT model_name FROM steps))::BIGINT AS models""")
+def analysis_overview(spark, d):
+    return analysis.overview(over_tables(spark, d))
+
+
+@query("""WITH s AS (SELECT _file_, document_id, count(*) AS n, count(*) FILTER (source = 'user') AS u, count(*) FILTER (source = 'agent') AS a FROM steps GROUP BY ALL),
+    t AS (SELECT _file_, document_id, count(*) AS n FROM calls GROUP BY ALL)
+    SELECT agent_id, coalesce(agent_version, '') AS agent_version, count(*)::BIGINT AS trajectories, count(DISTINCT r._file_)::BIGINT AS sources, coalesce(sum(s.n), 0)::BIGINT AS steps,
+           coalesce(sum(u), 0)::BIGINT AS user_steps, coalesce(sum(a), 0)::BIGINT AS agent_steps, coalesce(sum(t.n), 0)::BIGINT AS tool_calls
+    FROM runs r LEFT JOIN s USING (_file_, document_id) LEFT JOIN t USING (_file_, document_id) GROUP BY agent_id, agent_version""")
+def analysis_agents(spark, d):
+    return analysis.agents(over_tables(spark, d))
+
+
+@query("""WITH m AS (SELECT agent_model_name AS model, 1 AS d, 0 AS o FROM runs UNION ALL SELECT model_name, 0, 1 FROM steps)
+    SELECT model, sum(d)::BIGINT AS declared_trajectories, sum(o)::BIGINT AS observed_steps FROM m WHERE model <> '' GROUP BY model""")
+def analysis_models(spark, d):
+    return analysis.models(over_tables(spark, d))
+
+
+@query("""SELECT function_name, count(*)::BIGINT AS calls, count(DISTINCT (_file_, document_id))::BIGINT AS trajectories, count(DISTINCT _file_)::BIGINT AS sources, count(duration_ms)::BIGINT AS duration_samples,
+    coalesce(sum(duration_ms), 0)::BIGINT AS total_duration_ms FROM calls GROUP BY function_name""")
+def analysis_tools(spark, d):
+    return analysis.tools(over_tables(spark, d))
+
+
+_EVENT_STATS = """WITH v AS (SELECT _file_, session_id, count(*)::BIGINT AS row_count, (count(event_id) - count(DISTINCT event_id))::BIGINT AS duplicates,
+    max(CASE WHEN kind IN ('run.failed', 'run.cancelled') THEN 3 WHEN kind = 'run.completed' THEN 2 WHEN kind = 'session.ended' THEN 1 ELSE 0 END)::INT AS terminal_rank,
+    max(payload) FILTER (kind = 'session.ended') AS ended_payload, count(*) FILTER (kind IN ('llm.request', 'http.request'))::BIGINT AS requests,
+    count(*) FILTER (kind IN ('llm.response', 'http.response'))::BIGINT AS responses FROM log GROUP BY ALL)"""
+_STATUS = "CASE terminal_rank WHEN 3 THEN 'failed' WHEN 2 THEN 'completed' WHEN 1 THEN 'completed' ELSE CASE WHEN requests > 0 AND responses >= requests THEN 'completed' ELSE 'active' END END"
+
+
+@query(_EVENT_STATS + " SELECT * FROM v")
+def event_stats(spark, d):
+    return analysis.event_stats(over_tables(spark, d).events)
+
+
+@query(_EVENT_STATS + f" SELECT _file_, session_id, row_count, duplicates, {_STATUS} AS status FROM v")
+def terminal_status(spark, d):
+    return analysis.terminal_status(analysis.event_stats(over_tables(spark, d).events))
+
+
+@query(_EVENT_STATS + f""", w AS (SELECT _file_, 'c' || substr(session_id, 2) AS document_id, row_count, duplicates, {_STATUS} AS status FROM v), n AS (SELECT _file_, document_id, count(*) AS steps FROM steps GROUP BY ALL)
+    SELECT _file_ || '/' || document_id AS path, agent_id, coalesce(row_count, steps, 0)::BIGINT AS row_count, coalesce(duplicates, 0)::BIGINT AS duplicates, coalesce(status, 'active') AS status
+    FROM runs LEFT JOIN n USING (_file_, document_id) LEFT JOIN w USING (_file_, document_id)""")
+def run_summaries(spark, d):
+    return analysis.run_summaries(over_tables(spark, d))
+
+
+@query("SELECT _file_, count(*)::BIGINT AS n, 'runs' AS relation FROM runs GROUP BY 1 UNION ALL SELECT _file_, count(*), 'steps' FROM steps GROUP BY 1 UNION ALL SELECT _file_, count(*), 'tool_calls' FROM calls GROUP BY 1 UNION ALL SELECT _file_, count(*), 'events' FROM log GROUP BY 1")
+def status_counts(spark, d):
+    return analysis.status_counts(over_tables(spark, d))
+
+
+@query("""WITH s AS (SELECT _file_, document_id, count(*)::BIGINT AS step_count, list(step_id ORDER BY step_id) AS step_ids, list(source ORDER BY step_id) AS step_sources FROM steps GROUP BY ALL),
+    t AS (SELECT _file_, document_id, count(*)::BIGINT AS tool_call_count, list(function_name ORDER BY step_id, call_index) AS tool_names FROM calls GROUP BY ALL)
+    SELECT r.*, coalesce(step_count, 0) AS step_count, step_ids, step_sources, coalesce(tool_call_count, 0) AS tool_call_count, tool_names
+    FROM runs r LEFT JOIN s USING (_file_, document_id) LEFT JOIN t USING (_file_, document_id)""")
+def trajectories_view(spark, d):
+    return analysis.trajectories(over_tables(spark, d))
+
+
+@query("""SELECT source, count(*)::BIGINT AS total_count, count(latency_ms)::BIGINT AS sample_count, (list(latency_ms ORDER BY latency_ms) FILTER (latency_ms IS NOT NULL))[ceil((count(latency_ms) - 1) * 0.5)::INT + 1] AS p50,
+    (list(latency_ms ORDER BY latency_ms) FILTER (latency_ms IS NOT NULL))[ceil((count(latency_ms) - 1) * 0.95)::INT + 1] AS p95, max(latency_ms) AS max_value FROM steps GROUP BY source""")
+def percentile_stats(spark, d):
+    return analysis.percentiles(over_tables(spark, d).steps, "source", "latency_ms")
+
+
+@query("""WITH b AS (SELECT CASE WHEN latency_ms < 100 THEN 0 WHEN latency_ms < 500 THEN 1 WHEN latency_ms < 1000 THEN 2 WHEN latency_ms < 3000 THEN 3 WHEN latency_ms < 10000 THEN 4 ELSE 5 END AS bucket FROM steps WHERE latency_ms >= 0),
+    n(bucket, name) AS (VALUES (0, '<100'), (1, '100-500'), (2, '500-1000'), (3, '1000-3000'), (4, '3000-10000'), (5, '>=10000'))
+    SELECT n.bucket, name, count(b.bucket)::BIGINT AS n FROM n LEFT JOIN b USING (bucket) GROUP BY 1, 2""")
+def latency_histogram(spark, d):
+    return analysis.latency_histogram(over_tables(spark, d).steps)
+
+
+@query("""WITH x AS (SELECT 'source' AS dimension, coalesce(source, 'unavailable') AS name, latency_ms FROM steps UNION ALL SELECT 'model_name', coalesce(model_name, 'unavailable'), latency_ms FROM steps)
+    SELECT dimension, name, count(*)::BIGINT AS turns, count(latency_ms)::BIGINT AS latency_samples, round(avg(latency_ms), 4) AS mean_latency FROM x GROUP BY 1, 2""")
+def dimension_breakdown(spark, d):
+    return analysis.dimension_breakdown(over_tables(spark, d).steps)
+
+
+@query("SELECT kind, count(*)::BIGINT AS n FROM log WHERE session_id = 's3' GROUP BY kind")
+def kind_counts(spark, d):
+    return over_tables(spark, d).events.where("session_id = 's3'").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT session_id FROM log WHERE _file_ = 'part-2'")
+def distinct_sessions(spark, d):
+    return over_tables(spark, d).events.where("_file_ = 'part-2'").select("session_id").distinct().orderBy("session_id")
+
+
+@query("""SELECT user_id, sum(k)::BIGINT AS prompt_tokens, sum(greatest(k - 10, 0))::BIGINT AS completion_tokens, sum(k + greatest(k - 10, 0))::BIGINT AS total_tokens
+    FROM (SELECT user_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events) GROUP BY user_id""", relations=False)
+def token_rollup(spark, d):
+    usage = F.concat(F.lit('{"prompt_tokens": '), F.get_json_object("props", "$.k"), F.lit(', "completion_tokens": '), (F.get_json_object("props", "$.k").cast("long") - 10).cast("string"), F.lit("}"))
+    counts = scalars.token_counts(usage)
+    return _t(spark, d, "events").select("user_id", counts.alias("t")).groupBy("user_id").agg(F.sum("t.prompt").alias("prompt_tokens"), F.sum("t.completion").alias("completion_tokens"), F.sum("t.total").alias("total_tokens"))
+
+
+# -- set operations, sorting, windows -----------------------------------------------------------------
+
+
+@query("SELECT 'run' AS what, document_id FROM runs UNION ALL SELECT 'step', document_id FROM steps")
+def union_all(spark, d):
+    r = over_tables(spark, d)
+    return r.runs.select(F.lit("run").alias("what"), "document_id").unionAll(r.steps.select(F.lit("step"), "document_id"))
+
+
+@query("SELECT agent_model_name AS model FROM runs UNION SELECT model_name FROM steps")
+def union_distinct(spark, d):
+    r = over_tables(spark, d)
+    return r.runs.select(F.col("agent_model_name").alias("model")).union(r.steps.select("model_name")).distinct()
+
+
+@query("SELECT document_id FROM runs INTERSECT SELECT document_id FROM calls")
+def intersect(spark, d):
+    r = over_tables(spark, d)
+    return r.runs.select("document_id").intersect(r.tool_calls.select("document_id"))
+
+
+@query("SELECT user_id, event_id % 20 AS k FROM events WHERE event_type = 'view' EXCEPT SELECT user_id, event_id % 20 FROM events WHERE event_type = 'error'", relations=False)
+def except_distinct(spark, d):
+    rows = lambda t: _t(spark, d, "events").where(F.col("event_type") == t).select("user_id", (F.col("event_id") % 20).alias("k"))
+    return rows("view").subtract(rows("error"))
+
+
+@query("SELECT event_id, user_id, ts FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 100", relations=False)
+def topk_list(spark, d):
+    return _t(spark, d, "events").where("event_type = 'click'").select("event_id", "user_id", "ts").orderBy(F.desc("ts"), "event_id").limit(100)
+
+
+@query("SELECT document_id, avg(latency_ms) AS mean FROM steps GROUP BY document_id ORDER BY mean DESC NULLS LAST, document_id LIMIT 50")
+def nulls_last_topk(spark, d):
+    return over_tables(spark, d).steps.groupBy("document_id").agg(F.avg("latency_ms").alias("mean")).orderBy(F.desc_nulls_last("mean"), "document_id").limit(50)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50", relations=False)
+def pagination(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(50).limit(25)
+
+
+@query("SELECT append_pos, kind FROM log WHERE session_id = 's4' ORDER BY append_pos LIMIT 20 OFFSET 10")
+def replay_page(spark, d):
+    return projection.page(over_tables(spark, d).events.where("session_id = 's4'"), 10, 20).select("append_pos", "kind")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", relations=False)
+def rollup(spark, d):
+    return _t(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", relations=False)
+def cube(spark, d):
+    return _t(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, user_id % 10 AS g, count(*)::BIGINT AS n FROM events GROUP BY GROUPING SETS ((event_type), (g), ())", relations=False)
+def grouping_sets(spark, d):
+    _t(spark, d, "events").select("event_type", (F.col("user_id") % 10).alias("g")).createOrReplaceTempView("grouped_events")
+    return spark.sql("SELECT event_type, g, count(*) AS n FROM grouped_events GROUP BY GROUPING SETS ((event_type), (g), ())")
+
+
+@query("SELECT o_custkey, o_orderkey, rank() OVER w AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate)", relations=False)
+def window_rank(spark, d):
+    w = Window.partitionBy("o_custkey")
+    return _t(spark, d, "orders").select("o_custkey", "o_orderkey", F.rank().over(w.orderBy("o_orderdate")).cast("long").alias("r"), F.row_number().over(w.orderBy("o_orderdate", "o_orderkey")).cast("long").alias("n"))
+
+
+@query("SELECT user_id, event_id, count(*) OVER w AS n, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)", relations=False)
+def window_frame(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return _t(spark, d, "events").select("user_id", "event_id", F.count("*").over(w.rowsBetween(-3, 0)).alias("n"), F.lag("event_type").over(w).alias("before"))
+
+
+# -- projection, search, tables, queue -----------------------------------------------------------------
+
+
+_FOLD = """WITH p AS (SELECT session_id, call_id, min(append_pos) AS first_pos, min(append_pos) FILTER (kind = 'llm.request') AS request_pos, max(append_pos) FILTER (kind = 'llm.response') AS response_pos,
+    arg_max(payload, append_pos) FILTER (kind = 'llm.response') AS answer, min(ts) FILTER (kind = 'llm.request') AS t0, max(ts) FILTER (kind = 'llm.response') AS t1 FROM log GROUP BY ALL)"""
+
+
+@query(_FOLD + """ SELECT session_id, call_id, row_number() OVER (PARTITION BY session_id ORDER BY first_pos)::BIGINT AS turn, answer, date_diff('millisecond', t0, t1)::BIGINT AS latency_ms
+    FROM p WHERE request_pos IS NOT NULL AND response_pos IS NOT NULL""")
+def event_fold(spark, d):
+    return projection.fold(over_tables(spark, d).events)
+
+
+@query(_FOLD + """ SELECT session_id, call_id, row_number() OVER (PARTITION BY session_id ORDER BY first_pos)::BIGINT AS turn, answer, date_diff('millisecond', t0, t1)::BIGINT AS latency_ms
+    FROM p WHERE request_pos IS NOT NULL AND response_pos IS NOT NULL""")
+def incremental_projection(spark, d):
+    events = over_tables(spark, d).events
+    cut = events.agg(F.max("append_pos")).first()[0] // 2
+    before = projection.fold(events.where(F.col("append_pos") < cut))
+    return projection.sync(before, events, cut)
+
+
+@query("""SELECT session_id, call_id, max(payload) FILTER (kind = 'llm.request') AS request, arg_max(payload, append_pos) FILTER (kind = 'llm.response') AS response FROM log
+    GROUP BY ALL HAVING count(*) FILTER (kind = 'llm.request') > 0""")
+def har_pairs(spark, d):
+    return projection.call_pairs(over_tables(spark, d).events)
+
+
+def _knn(metric: str, distance: str):
+    def run(spark, d):
+        vectors = _t(spark, d, "embeddings")
+        first = vectors.where("vec_id = 0").select("embedding").first()[0]
+        return search.knn(vectors, first, 10, metric).select("vec_id", F.round("_distance", 5).alias("d"))
+
+    run.__name__ = f"vector_knn_{metric}"
+    query(f"""WITH q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0), v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
+        SELECT vec_id, round({distance}, 5) + 0.0 AS d FROM v, q ORDER BY {distance}, vec_id LIMIT 10""", relations=False)(run)
+
+
+_knn("l2", "list_distance(e, q) ** 2")
+_knn("cosine", "list_cosine_distance(e, q)")
+_knn("dot", "1 - list_inner_product(e, q)")
+
+
+@query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+    c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'que')) AS b FROM t),
+    s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)
+    SELECT doc_id, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score
+    FROM c, s WHERE a + b > 0""", relations=False)
+def fts_bm25(spark, d):
+    return search.bm25(_t(spark, d, "documents"), ["the", "que"]).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(r"""WITH h AS (SELECT doc_id FROM documents WHERE list_has_any(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), ['que', 'los'])),
+    q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0)
+    SELECT vec_id, round(list_distance(list_transform(embedding, lambda x: x::DOUBLE), q) ** 2, 5) AS d FROM embeddings JOIN h ON doc_id = vec_id, q ORDER BY 2, 1 LIMIT 10""", relations=False)
+def hybrid_search(spark, d):
+    vectors = _t(spark, d, "embeddings")
+    first = vectors.where("vec_id = 0").select("embedding").first()[0]
+    return search.hybrid(_t(spark, d, "documents"), vectors, ["que", "los"], first, 10).select("vec_id", F.round("_distance", 5).alias("d"))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P')", relations=False)
+def value_partition_filter(spark, d):
+    orders = _t(spark, d, "orders")
+    kept = [r[0] for r in orders.select("o_orderstatus").distinct().collect() if tables.partition_matches("o_orderstatus = 'F' OR o_orderstatus IN ('P')", "o_orderstatus", r[0])]
+    return orders.where(F.col("o_orderstatus").isin(kept)).select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT o_custkey % 8 AS bucket, count(*)::BIGINT AS n FROM orders GROUP BY 1", relations=False)
+def hash_partition_count(spark, d):
+    return _t(spark, d, "orders").groupBy(tables.stable_bucket("o_custkey", "bigint", 8).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (SELECT o_orderstatus, o_orderkey, o_totalprice FROM orders ORDER BY o_orderstatus, o_totalprice, o_orderkey LIMIT 200)", relations=False)
+def partitioned_order_limit(spark, d):
+    return tables.ordered_concat(_t(spark, d, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice"), "o_orderstatus", "o_totalprice", 200)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT o_orderkey + 100000000, 'X' FROM orders WHERE o_orderkey % 300 = 0", relations=False)
+def upsert(spark, d):
+    rows = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    changed = rows.where("o_orderkey % 3 = 0").select("o_orderkey").unionAll(rows.where("o_orderkey % 300 = 0").select(F.col("o_orderkey") + 100000000)).withColumn("o_orderstatus", F.lit("X"))
+    return tables.upsert(rows, changed, ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders", relations=False)
+def update(spark, d):
+    return tables.update(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice") > 300000, o_totalprice=F.lit(0.0))
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT coalesce(o_orderstatus = 'F' AND o_totalprice < 100000, false)", relations=False)
+def delete(spark, d):
+    return tables.delete(_t(spark, d, "orders"), F.expr("o_orderstatus = 'F' AND o_totalprice < 100000")).select("o_orderkey")
+
+
+@query("SELECT p_partkey, p_size * 2 AS twice, upper(p_brand) AS brand FROM part", relations=False)
+def add_columns(spark, d):
+    return tables.add_columns(_t(spark, d, "part").select("p_partkey", "p_size", "p_brand"), twice="p_size * 2", brand="upper(p_brand)").drop("p_size", "p_brand")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') ORDER BY o_orderkey LIMIT 100", relations=False)
+def queue_ready(spark, d):
+    orders = _t(spark, d, "orders")
+    consumed = orders.where("o_orderstatus = 'F'").select(F.lit("train").alias("task"), F.col("o_orderkey").alias("idx"))
+    return queueing.sequential(queueing.ready(orders.select(F.col("o_orderkey").alias("idx")), consumed, "train"), 100).select(F.col("idx").alias("o_orderkey"))
+
+
+@query("""WITH r AS (SELECT DISTINCT event_id AS idx FROM events WHERE event_type <> 'error'), i AS (SELECT idx, idx - row_number() OVER (ORDER BY idx) AS k FROM r),
+    g AS (SELECT idx, min(idx) OVER (PARTITION BY k) AS island, count(*) OVER (PARTITION BY k) AS n FROM i)
+    SELECT idx, ((idx - island) // 4)::BIGINT AS "group", island FROM g WHERE idx - island < n // 4 * 4""", relations=False)
+def sampler_groups(spark, d):
+    return queueing.runs_of(_t(spark, d, "events").where("event_type <> 'error'").select(F.col("event_id").alias("idx")).distinct(), 4)
+
+
+@query("SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type IN ('view', 'error'))", relations=False)
+def resume_antijoin(spark, d):
+    e = _t(spark, d, "events").select("event_id", "event_type")
+    return projection.remaining(e, e.where("event_type = 'view'"), e.where("event_type = 'error'"), "event_id").select("event_id")
+
+
+# -- scalar functions ------------------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, CASE WHEN length(t) > 180 THEN left(t, 179) || '…' ELSE t END AS short FROM (SELECT doc_id, trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM documents)", relations=False)
+def compact_text(spark, d):
+    return _t(spark, d, "documents").select("doc_id", scalars.compact(F.col("text"), 180).alias("short"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::DOUBLE AS number FROM events", relations=False)
+def find_number(spark, d):
+    return _t(spark, d, "events").select("event_id", scalars.find_number(F.concat(F.lit('{"a": [{"b": '), F.col("props"), F.lit("}]}")), F.lit("k")).alias("number"))
+
+
+@query()
+def embed_text(spark, d):
+    return _t(spark, d, "documents").select("doc_id", scalars.embed_text(F.col("text"), 64).alias("embedding"))
+
+
+@query()
+def text_similarity(spark, d):
+    return _t(spark, d, "benchmark").select("item_id", scalars.similarity(F.col("text"), F.concat(F.col("text"), F.lit(" more"))).alias("ratio"))
+
+
+@query("""WITH u AS (SELECT event_id, 'gpt-4o-' || event_type AS model, value AS v FROM events) SELECT event_id, round(v * 1000 / 1e6 * 2.5 + v * 100 / 1e6 * 10.0, 9) AS cost FROM u""", relations=False)
+def usage_cost(spark, d):
+    e = _t(spark, d, "events")
+    return e.select("event_id", F.round(scalars.cost(F.concat(F.lit("gpt-4o-"), F.col("event_type")), F.col("value") * 1000, F.col("value") * 100), 9).alias("cost"))
