@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LABELLED, POOL = 16_000, 6_000
+LABELLED, POOL = 12_000, 4_000
 MIN_LABELLED = 20
 ROUNDS = 3
 CONFIDENT = 0.97
@@ -97,9 +97,14 @@ class View:
 
 def fit(rows: list[np.ndarray], good: np.ndarray, width: int, passes: int = 10, rate: float = 0.5, decay: float = 2e-4, batch: int = 128, start: float = 1e-2) -> View:
     """Logistic regression by AdaGrad over batches in a fixed order; documents of both classes weigh alike."""
-    used, flat = np.unique(np.concatenate(rows), return_inverse=True)
-    ends = np.cumsum([len(r) for r in rows])
-    rows = [flat[b - len(r) : b] for r, b in zip(rows, ends, strict=True)]
+    flat = np.concatenate(rows)
+    used = np.nonzero(np.bincount(flat, minlength=width) > 1)[0]  # what one document alone has teaches nothing about others
+    place = np.full(width, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    flat = place[flat]
+    kept = np.add.reduceat((flat >= 0).astype(np.int64), np.cumsum([0, *(len(r) for r in rows[:-1])]))
+    flat, ends = flat[flat >= 0], np.cumsum(kept)
+    rows = [flat[b - n : b] for n, b in zip(kept, ends, strict=True)]
     view, sums, at_bias = View(np.zeros(len(used))), np.full(len(used), start), 1e-6
     weight = np.where(good, 0.5 / max(good.mean(), 1e-9), 0.5 / max(1 - good.mean(), 1e-9))
     order = np.random.RandomState(2)
