@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import analysis, projection, queueing, search, tables
+from .operators import analysis, exchange, projection, queueing, search, tables
 from .relations import CTES, over_tables
 
 QUERIES: dict = {}
@@ -450,3 +450,45 @@ def text_similarity(spark, d):
 def usage_cost(spark, d):
     e = _t(spark, d, "events")
     return e.select("event_id", F.round(scalars.cost(F.concat(F.lit("gpt-4o-"), F.col("event_type")), F.col("value") * 1000, F.col("value") * 100), 9).alias("cost"))
+
+
+# -- exchange -----------------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT event_id % 40 AS revision_id, max(event_id) AS at FROM events WHERE event_id < 500 GROUP BY 1), c AS (SELECT event_id % 60 AS revision_id, max(event_id) AS at FROM events WHERE event_id >= 500 GROUP BY 1)
+    SELECT * FROM c UNION ALL SELECT * FROM r WHERE revision_id NOT IN (SELECT revision_id FROM c)""", relations=False)
+def revisions_upsert(spark, d):
+    latest = lambda rows, n: rows.groupBy((F.col("event_id") % n).alias("revision_id")).agg(F.max("event_id").alias("at"))
+    e = _t(spark, d, "events")
+    return exchange.upsert_revisions(latest(e.where("event_id < 500"), 40), latest(e.where("event_id >= 500"), 60), order=["at", "revision_id"])
+
+
+@query("""WITH p AS (SELECT session_id, call_id, min(append_pos) FILTER (kind = 'llm.request') AS asked, max(append_pos) FILTER (kind = 'llm.response') AS answered FROM log GROUP BY ALL)
+    SELECT session_id, count(*)::BIGINT AS entries, count(answered)::BIGINT AS answered FROM p WHERE asked IS NOT NULL GROUP BY session_id""")
+def har_export(spark, d):
+    har = exchange.har(over_tables(spark, d).events)
+    answered = F.filter("entries", lambda e: e.response.isNotNull())
+    return har.select("session_id", F.size("entries").cast("long").alias("entries"), F.size(answered).cast("long").alias("answered"))
+
+
+@query("SELECT append_pos, kind AS name, epoch_us(ts) * 1000 AS start_ns, session_id AS trace FROM log")
+def otlp_spans(spark, d):
+    return exchange.spans(over_tables(spark, d).events).select("append_pos", "name", "start_ns", "trace")
+
+
+@query("""WITH n AS (SELECT *, count(*) FILTER (kind = 'llm.request') OVER (PARTITION BY session_id ORDER BY append_pos) AS turn FROM log)
+    SELECT session_id, turn::BIGINT AS turn, count(*)::BIGINT AS events, min(append_pos) AS opened, max(append_pos) AS last, count(*) FILTER (kind = 'llm.response')::BIGINT AS responses FROM n GROUP BY session_id, turn""")
+def turn_windows(spark, d):
+    return exchange.turns(over_tables(spark, d).events)
+
+
+@query("SELECT table_name, column_name FROM (VALUES ('schema_orders', 'o_orderkey'), ('schema_orders', 'o_totalprice'), ('schema_region', 'r_name')) t(table_name, column_name)", relations=False)
+def information_schema(spark, d):
+    return exchange.information_schema(spark, {"schema_orders": _t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "schema_region": _t(spark, d, "region").select("r_name")}).select("table_name", "column_name")
+
+
+@query("SELECT doc_id, coalesce(text, '') AS text, substr(coalesce(text, ''), 1, 256) AS preview FROM documents", relations=False)
+def content_hydration(spark, d):
+    docs = _t(spark, d, "documents")
+    rows, objects = exchange.offload(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text")
+    return exchange.hydrate(rows, objects, "text").select("doc_id", "text", exchange.preview(F.col("text")).alias("preview"))

@@ -48,8 +48,8 @@ def bm25(docs: DataFrame, terms: Sequence[str], id_col: str = "doc_id", text_col
 
     One pass counts the terms per document and, with it, lengths and document frequencies; no token is shuffled.
     """
-    words = tokens(F.col(text_col))
-    counted = docs.select(F.col(id_col), F.size(words).alias("n"), *(_times(words, x).alias(f"tf{i}") for i, x in enumerate(terms)))
+    split = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("w"))  # tokenised once per row, for all terms
+    counted = split.select(id_col, F.size("w").alias("n"), *(_times(F.col("w"), x).alias(f"tf{i}") for i, x in enumerate(terms)))
     total = counted.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))))
     idf = lambda i: F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
     part = lambda i: idf(i) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
