@@ -36,6 +36,10 @@ BANDS, BAND_ROWS = 25, 5
 TOLERANCE = 1e-6
 #: Nodes and shingles of a block.
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 1_000_000
+#: Nodes whose pairs are pruned at a time; shingles, and columns of marks, that are intersected at a time.
+STRIPE, SLICE_SHINGLES, COLUMNS = 64, 1 << 17, 1024
+#: Hashes of words that are kept.
+KEPT_WORDS = 1 << 16
 
 _SEEDS = np.random.RandomState(8)
 _FACTORS = (_SEEDS.randint(0, 2**31, BANDS * BAND_ROWS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -46,7 +50,7 @@ class _Hashes(dict):
     """64-bit hashes of words, kept while they are few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= KEPT_WORDS:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
@@ -108,41 +112,56 @@ def linked(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.
     for c in range(_STEPS[0]):
         first += sig[left, c][:, None] == sig[right, c][None, :]
     live = first >= _CUTS[0]
-    a, b = np.nonzero(np.triu(live, 1) if same else live)
-    m = first[a, b].astype(np.int64)
-    a, b = left[a], right[b]
-    for low, high, cut in zip(_STEPS, _STEPS[1:], _CUTS[1:], strict=False):
-        for at in range(0, len(a), 65_536):
-            part = slice(at, at + 65_536)
-            m[part] += (sig[a[part], low:high] == sig[b[part], low:high]).sum(axis=1)
-        stay = m >= cut
-        a, b, m = a[stay], b[stay], m[stay]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    both = _overlaps(sets, a, b)
-    num, den = THRESHOLD.numerator, THRESHOLD.denominator
-    stay = both * (den + num) >= num * (sizes[a] + sizes[b])
-    return a[stay], b[stay]
-
-
-def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact sizes of the intersections of sets[a] and sets[b]."""
-    nodes = np.unique(np.concatenate([a, b]))
-    if len(a) <= 8 * len(nodes):
-        return np.fromiter((len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)), np.int64, len(a))
-    owner = np.repeat(np.arange(len(nodes)), [len(sets[x]) for x in nodes])
-    _, column, often = np.unique(np.concatenate([sets[x] for x in nodes]), return_inverse=True, return_counts=True)
-    column = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[column]
-    owner, column = owner[column >= 0], column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    total = np.zeros((len(nodes), len(nodes)), np.float32)  # counts below 2**24 are exact
-    width = 2048
-    for at in range(0, int(column.max(initial=-1)) + 1, width):
-        lo, hi = np.searchsorted(column, [at, at + width])
-        dense = np.zeros((len(nodes), width), np.float32)
-        dense[owner[lo:hi], column[lo:hi] - at] = 1
-        total += dense @ dense.T
-    return total[np.searchsorted(nodes, a), np.searchsorted(nodes, b)].astype(np.int64)
+    live = np.triu(live, 1) if same else live
+    found = []
+    for low in range(0, len(left), STRIPE):
+        a, b = np.nonzero(live[low : low + STRIPE])
+        a += low
+        m = first[a, b].astype(np.int16)
+        for begin, end, cut in zip(_STEPS, _STEPS[1:], _CUTS[1:], strict=False):
+            m += (sig[left[a], begin:end] == sig[right[b], begin:end]).sum(axis=1, dtype=np.int16)
+            stay = m >= cut
+            a, b, m = a[stay], b[stay], m[stay]
+        found.append((a.astype(np.int32), b.astype(np.int32)))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+    one, other = [sets[x] for x in left], [sets[x] for x in right]
+    sums = np.array([len(s) for s in one], np.int64)[a] + np.array([len(s) for s in other], np.int64)[b]
+    stay = _overlaps(one, other, a, b) * (THRESHOLD.denominator + THRESHOLD.numerator) >= THRESHOLD.numerator * sums
+    return left[a[stay]], right[b[stay]]
+
+
+def _overlaps(one: list[np.ndarray], other: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact sizes of the intersections of one[a] and other[b]."""
+    rows, columns = np.unique(a), np.unique(b)
+    if len(a) <= 8 * (len(rows) + len(columns)):
+        return np.fromiter((len(np.intersect1d(one[x], other[y], assume_unique=True)) for x, y in zip(a, b, strict=True)), np.int64, len(a))
+    one, other = [one[x] for x in rows], [other[y] for y in columns]
+    total = np.zeros((len(one), len(other)), np.float32)  # counts below 2**24 are exact
+    slices = -(-sum(map(len, one + other)) // SLICE_SHINGLES)
+    edges = np.array([k * 2**64 // slices for k in range(1, slices)], np.uint64)
+    ends = [[np.concatenate([[0], np.searchsorted(s, edges), [len(s)]]) for s in side] for side in (one, other)]
+    for k in range(slices):  # one range of shingles at a time, to bound what is held
+        sides = []
+        for side, at in zip((one, other), ends, strict=True):
+            parts = [s[e[k] : e[k + 1]] for s, e in zip(side, at, strict=True)]
+            sides.append((np.repeat(np.arange(len(side), dtype=np.int32), [len(x) for x in parts]), np.concatenate(parts)))
+        common = np.intersect1d(np.unique(sides[0][1]), np.unique(sides[1][1]), assume_unique=True)
+        if not len(common):
+            continue
+        placed = []
+        for owner, values in sides:
+            column = np.searchsorted(common, values).astype(np.int32)
+            met = common[np.minimum(column, len(common) - 1)] == values
+            placed.append((owner[met], column[met]))
+        for low in range(0, len(common), COLUMNS):
+            dense = []
+            for (owner, column), side in zip(placed, (one, other), strict=True):
+                inside = (column >= low) & (column < low + COLUMNS)
+                marks = np.zeros((len(side), min(COLUMNS, len(common) - low)), np.float32)
+                marks[owner[inside], column[inside] - low] = 1
+                dense.append(marks)
+            total += dense[0] @ dense[1].T
+    return total[np.searchsorted(rows, a), np.searchsorted(columns, b)].astype(np.int64)
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
