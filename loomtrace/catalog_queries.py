@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import analysis, exchange, projection, queueing, search, tables
+from .operators import analysis, exchange, explorer, projection, queueing, search, tables
 from .relations import CTES, over_tables
+from .streaming import turns
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -492,3 +493,51 @@ def content_hydration(spark, d):
     docs = _t(spark, d, "documents")
     rows, objects = exchange.offload(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text")
     return exchange.hydrate(rows, objects, "text").select("doc_id", "text", exchange.preview(F.col("text")).alias("preview"))
+
+
+# -- explorer -----------------------------------------------------------------------------------------
+
+
+@query("""SELECT _file_, document_id, agent_id FROM runs WHERE lower(agent_id || ' ' || document_id) LIKE '%agent-1 c%' AND _file_ = 'part-2'""")
+def explorer_runs(spark, d):
+    runs = over_tables(spark, d).runs
+    return runs.where(explorer.contains(" Agent-1 C", "agent_id", "document_id") & explorer.fits("_file_", "PART-2") & explorer.fits("agent_id", "all")).select("_file_", "document_id", "agent_id")
+
+
+@query("SELECT source, step_id, document_id FROM steps WHERE source = 'agent' AND contains(lower(source || ' ' || coalesce(message, '')), 'que')")
+def explorer_turns(spark, d):
+    return explorer.search_turns(over_tables(spark, d).steps, "que", "agent").select("source", "step_id", "document_id")
+
+
+@query("""SELECT agent_id, session_id, row_count FROM (SELECT agent_id, document_id AS session_id, (SELECT count(*) FROM steps s WHERE s.document_id = r.document_id)::BIGINT AS row_count FROM runs r)
+    ORDER BY row_count DESC, session_id DESC LIMIT 20 OFFSET 5""")
+def explorer_page(spark, d):
+    r = over_tables(spark, d)
+    counted = r.steps.groupBy(F.col("document_id").alias("session_id")).agg(F.count("*").alias("row_count"))
+    runs = counted.join(r.runs.select("agent_id", F.col("document_id").alias("session_id")), "session_id")
+    return explorer.paginate(explorer.sorted_runs(runs, "events", descending=True, order="session_id"), 5, 20).rows.select("agent_id", "session_id", "row_count")
+
+
+@query("""WITH b AS (SELECT DISTINCT _file_, document_id, step_id FROM calls WHERE function_name = 'error')
+    SELECT function_name AS name, count(*)::BIGINT AS count, count(duration_ms)::BIGINT AS duration_sample_count, sum(duration_ms)::BIGINT AS total_duration_ms, avg(duration_ms) AS average_duration_ms,
+           max(duration_ms) AS max_duration_ms, count(b.step_id)::BIGINT AS error_associated_count FROM calls LEFT JOIN b USING (_file_, document_id, step_id) GROUP BY function_name""")
+def tool_errors(spark, d):
+    calls = over_tables(spark, d).tool_calls
+    return explorer.tool_errors(calls, calls.where("function_name = 'error'"))
+
+
+@query("SELECT kind AS format, '/steps/*/' || (append_pos % 3) || 'x' AS pointer, count(*)::BIGINT AS occurrences FROM log GROUP BY 1, 2")
+def unknown_keys(spark, d):
+    pointers = over_tables(spark, d).events.select(F.col("kind").alias("format"), F.concat(F.lit("/steps/"), F.col("append_pos").cast("string"), F.lit("/"), (F.col("append_pos") % 3).cast("string"), F.lit("x")).alias("pointer"))
+    return explorer.unknown_keys(pointers)
+
+
+@query("""WITH e AS (SELECT session_id, append_pos, kind, call_id, kind = 'llm.request' AS asks, kind = 'llm.response' AS answers, append_pos % 5 = 0 AS internal, append_pos % 3 = 0 AS spoken FROM log),
+    o AS (SELECT *, count(*) FILTER (asks AND NOT internal) OVER s AS nth FROM e WINDOW s AS (PARTITION BY session_id ORDER BY append_pos)),
+    t AS (SELECT *, nullif(count(*) FILTER (asks AND NOT internal AND (spoken OR nth = 1)) OVER s, 0) - 1 AS open FROM o WINDOW s AS (PARTITION BY session_id ORDER BY append_pos)),
+    c AS (SELECT *, last_value(CASE WHEN asks THEN open END IGNORE NULLS) OVER w AS asked, first_value(CASE WHEN answers THEN open END IGNORE NULLS) OVER w AS answered FROM t
+          WINDOW w AS (PARTITION BY session_id, call_id ORDER BY append_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT session_id, append_pos, kind, call_id, (CASE WHEN answers THEN coalesce(asked, answered) ELSE open END)::BIGINT AS turn_index FROM c""")
+def turn_machine(spark, d):
+    at = F.col("append_pos")
+    return turns.assign(turns.prepared(over_tables(spark, d).events, at % 5 == 0, F.when(at % 3 == 0, F.lit("text"))))
