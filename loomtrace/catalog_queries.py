@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import analysis, exchange, explorer, projection, queueing, search, tables
+from .operators import analysis, eventlog, exchange, explorer, projection, queueing, search, tables
 from .relations import CTES, over_tables
 from .streaming import turns
 
@@ -541,3 +541,10 @@ def unknown_keys(spark, d):
 def turn_machine(spark, d):
     at = F.col("append_pos")
     return turns.assign(turns.prepared(over_tables(spark, d).events, at % 5 == 0, F.when(at % 3 == 0, F.lit("text"))))
+
+
+@query("""WITH h AS (SELECT *, lag(source) OVER w AS before, lag(step_id) OVER w AS asked, row_number() OVER w - 1 AS seq FROM steps WINDOW w AS (PARTITION BY _file_, document_id ORDER BY step_id))
+    SELECT _file_, document_id, seq::BIGINT AS seq, CASE source WHEN 'system' THEN 'note' WHEN 'user' THEN 'llm.request' ELSE 'llm.response' END AS kind,
+           CASE WHEN source <> 'system' THEN 'turn-' || CASE WHEN source = 'agent' AND before = 'user' THEN asked ELSE step_id END END AS call_id, message AS payload FROM h""")
+def document_events(spark, d):
+    return eventlog.from_steps(over_tables(spark, d).steps, F.col("message"))
