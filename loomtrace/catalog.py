@@ -31,7 +31,7 @@ class File:
 
 
 def discover(spark: SparkSession, root: str, max_files: int = MAX_FILES) -> list[File]:
-    """JSON files under a folder of any file system that Spark reads, by relative path."""
+    """JSON and Markdown files under a folder of any file system that Spark reads, by relative path."""
     top = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
     base = fs.getFileStatus(top).getPath().toString().rstrip("/")
@@ -40,7 +40,7 @@ def discover(spark: SparkSession, root: str, max_files: int = MAX_FILES) -> list
         status = listing.next()
         path = status.getPath().toString()
         name = path[len(base) + 1 :] or "."
-        if fnmatch.fnmatch(path, "*.json*") and not any(p.startswith((".", "_")) for p in name.split("/")):
+        if (fnmatch.fnmatch(path, "*.json*") or path.endswith(".md")) and not any(p.startswith((".", "_")) for p in name.split("/")):
             found.append(File(name, path, status.getLen(), status.getModificationTime()))
             if len(found) > max_files:
                 raise gate.Exhausted(f"more than {max_files} files")
@@ -52,7 +52,7 @@ def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for name, content in zip(rows["_file_"], rows["value"], strict=True):
             try:
-                form, found = decode.decode(content)
+                form, found = decode.decode(content, markdown=name.endswith(".md"))
                 out.append((name, "source", json.dumps({"format": form, "status": "ready"})))
                 out += [(name, kind, json.dumps(row, default=lambda d: d.isoformat())) for kind, row in found]
             except Exception as e:  # the policy: a bad file is reported as a source

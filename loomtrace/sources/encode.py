@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..relations import Relations
+from . import storyline as hub
 
 DOCUMENT = ["_file_", "document_id"]
 ROLES = {"agent": "assistant"}
@@ -118,7 +119,15 @@ def openai(row: dict) -> list[dict]:
     return out
 
 
-FORMS = {"atif": atif, "actf": actf, "openai": openai}
+def storyline(row: dict) -> dict:
+    return hub.encode(row, checked(row))
+
+
+def agenticmd(row: dict) -> str:
+    return hub.to_markdown(hub.encode(row, checked(row)))
+
+
+FORMS = {"atif": atif, "actf": actf, "openai": openai, "storyline": storyline, "agenticmd": agenticmd}
 
 
 def tasks(encoded: DataFrame) -> DataFrame:
@@ -157,7 +166,7 @@ def export(r: Relations, form: str, where: Column | None = None, most: int | Non
             for row in rows.astype(object).where(rows.notna(), None).to_dict("records"):
                 made = encode(row)
                 lines = made if isinstance(made, list) else [made]
-                out.append((row["_file_"], row["document_id"], "\n".join(json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in lines)))
+                out.append((row["_file_"], row["document_id"], made if isinstance(made, str) else "\n".join(json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in lines)))
             yield pd.DataFrame(out, columns=["_file_", "document_id", "text"])
 
     return rebuild(r).mapInPandas(write, "_file_ string, document_id string, text string")
