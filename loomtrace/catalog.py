@@ -7,19 +7,26 @@ that cannot be decoded becomes a source with status ``error``, and the others st
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .plans import gate
+from .plans import gate, routing
 from .relations import RUNS, SOURCES, STEPS, TOOL_CALLS, Relations
 from .sources import decode
 
 MAX_FILES = 1_000_000
+MAX_PAGE = 10_000
+VIEWS = ("runs", "steps", "tool_calls")
+#: Columns that the routing index covers.
+ROUTED = ("document_id", "session_id", "run_id", "agent_id", "function_name")
 
 
 @dataclass(frozen=True)
@@ -69,10 +76,11 @@ class Catalog:
         if discover(self.spark, self.root) != self.files:
             raise RuntimeError("files changed since the snapshot")
 
-    def relations(self, pattern: str | None = None) -> Relations:
-        """The relations over all files, or those whose name fits a LIKE pattern; others are not read."""
+    def relations(self, pattern: str | None = None, names: Collection[str] | None = None) -> Relations:
+        """The relations over all files, those whose name fits a LIKE pattern, or those named; others are not read."""
         self.validate_unchanged()
-        files = [f for f in self.files if pattern is None or fnmatch.fnmatch(f.name, pattern.replace("%", "*").replace("_", "?"))]
+        fits = routing.like(pattern, None) if pattern is not None else lambda name: names is None or name in names
+        files = [f for f in self.files if fits(f.name)]
         names = self.spark.createDataFrame([(f.path, f.name, f.size, str(f.modified)) for f in files], "path string, _file_ string, size_bytes long, last_modified string")
         if not files:
             empty = lambda s: self.spark.createDataFrame([], s).select(F.lit("").alias("_file_"), "*")
@@ -91,13 +99,76 @@ class Catalog:
         sources = sources.select(*(F.col(f.name) if f.name in sources.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SOURCES.fields))
         return Relations(relation("run", RUNS), relation("step", STEPS), relation("call", TOOL_CALLS), decoded.limit(0), sources)
 
-    def sql(self, text: str, max_rows: int = 100_000) -> list[dict]:
-        """Rows of a read-only statement over runs, steps, tool_calls and sources."""
-        gate.read_only(self.spark, text)
+    def build_index(self, path: str) -> None:
+        """Write the routing index: which files hold which identities."""
         r = self.relations()
-        for name in ("runs", "steps", "tool_calls", "sources"):
+        routing.write_index(routing.build_index({n: getattr(r, n) for n in VIEWS}, ROUTED), path)
+
+    def _views(self, names: Collection[str] | None = None) -> Relations:
+        r = self.relations(names=names)
+        for name in (*VIEWS, "sources"):
             getattr(r, name).createOrReplaceTempView(name)
+        return r
+
+    def needed(self, text: str, index: str | None = None) -> list[str]:
+        """Names of the files that a statement can need; all, unless it reads one relation and nothing else."""
+        stubs = {"runs": RUNS, "steps": STEPS, "tool_calls": TOOL_CALLS, "sources": None}
+        everything = [f.name for f in self.files]
+        for name, schema in stubs.items():
+            fields = SOURCES if schema is None else T.StructType([T.StructField("_file_", T.StringType()), *schema.fields])
+            self.spark.createDataFrame([], fields).createOrReplaceTempView(name)
+        df = self.spark.sql(text)
+        relation = [n for n in VIEWS if re.search(rf"SubqueryAlias {n}\b", df._jdf.queryExecution().analyzed().toString())]
+        if len(relation) != 1:
+            return everything
+        return routing.candidates(df, relation[0], everything, self.spark.read.parquet(index) if index else None, ROUTED)
+
+    def sql(self, text: str, max_rows: int = 100_000, index: str | None = None) -> list[dict]:
+        """Rows of a read-only statement over runs, steps, tool_calls and sources; files it cannot need are not read."""
+        gate.read_only(self.spark, text)
+        r = self._views(self.needed(text, index))
         df = self.spark.sql(text)
         if r.sources.where("status = 'ready'").limit(2).count() > 1:
-            gate.join_safe(df, {self.root: {"runs", "steps", "tool_calls"}})
+            gate.join_safe(df, {self.root: set(VIEWS)})
         return gate.rows_within(df, max_rows)
+
+    def status(self) -> dict:
+        """ready, degraded or error with counts; a file in error leaves the counts incomplete, not absent."""
+        r = self.relations()
+        by = {row["status"]: row["count"] for row in r.sources.groupBy("status").count().collect()}
+        ready, bad = by.get("ready", 0), by.get("error", 0)
+        return {"status": "ready" if not bad else "degraded" if ready else "error", "ready_sources": ready, "error_sources": bad, "counts_complete": not bad} | {n: getattr(r, n).count() for n in VIEWS}
+
+    def page(self, token: str | None = None, size: int = 100) -> tuple[list[File], str | None]:
+        """Files by name, at most 10,000, and the token of the next page, which holds for this snapshot only."""
+        if not 1 <= size <= MAX_PAGE:
+            raise ValueError(f"a page has 1 to {MAX_PAGE} files")
+        mark = hashlib.sha256(repr(self.files).encode()).hexdigest()[:16]
+        snapshot, _, start = (token or f"{mark}:0").partition(":")
+        if snapshot != mark or not start.isdigit():
+            raise ValueError("the token is of another snapshot")
+        at = int(start)
+        return self.files[at : at + size], f"{mark}:{at + size}" if at + size < len(self.files) else None
+
+    def describe(self, name: str) -> File:
+        """One file of the snapshot; an unknown name is an error."""
+        for f in self.files:
+            if f.name == name:
+                return f
+        raise LookupError(name)
+
+
+def external(spark: SparkSession, name: str, path: str, form: str) -> DataFrame:
+    """A CSV, JSON-array or JSON-lines file as a view; a name that is no identifier or is taken is an error."""
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+        raise ValueError(f"{name!r} is no table name")
+    if spark.catalog.tableExists(name):
+        raise ValueError(f"{name!r} is taken")
+    read = {
+        "csv": lambda: spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"'),
+        "json": lambda: spark.read.json(path, multiLine=True),
+        "jsonl": lambda: spark.read.json(path),
+    }
+    df = read[form]()
+    df.createTempView(name)
+    return df
