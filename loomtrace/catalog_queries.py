@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import analysis, eventlog, exchange, explorer, projection, queueing, search, tables
+from .operators import analysis, eventlog, exchange, explorer, ivf, projection, queueing, search, tables
+from .plans import routing
 from .relations import CTES, over_tables
 from .streaming import turns
 
@@ -347,6 +348,15 @@ _knn("cosine", "list_cosine_distance(e, q)")
 _knn("dot", "1 - list_inner_product(e, q)")
 
 
+@query("""WITH q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 1), v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
+    SELECT vec_id, round(list_distance(e, q) ** 2, 5) + 0.0 AS d FROM v, q ORDER BY list_distance(e, q), vec_id LIMIT 10""", relations=False)
+def ivf_search(spark, d):
+    vectors = _t(spark, d, "embeddings")
+    first = vectors.where("vec_id = 1").select("embedding").first()[0]
+    index = ivf.Index.over(vectors, len(first))
+    return index.search(first, 10, nprobes=len(index.centroids)).select("vec_id", F.round("_distance", 5).alias("d"))
+
+
 @query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
     c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'que')) AS b FROM t),
     s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)
@@ -548,3 +558,42 @@ def turn_machine(spark, d):
            CASE WHEN source <> 'system' THEN 'turn-' || CASE WHEN source = 'agent' AND before = 'user' THEN asked ELSE step_id END END AS call_id, message AS payload FROM h""")
 def document_events(spark, d):
     return eventlog.from_steps(over_tables(spark, d).steps, F.col("message"))
+
+
+# -- routing, queue and messages ------------------------------------------------------------------------
+
+
+@query("""SELECT 'runs.agent_id' AS "column", _file_, count(DISTINCT agent_id)::BIGINT AS n FROM runs GROUP BY _file_ UNION ALL
+    SELECT 'runs.document_id', _file_, count(DISTINCT document_id)::BIGINT FROM runs GROUP BY _file_ UNION ALL SELECT 'steps.document_id', _file_, count(DISTINCT document_id)::BIGINT FROM steps GROUP BY _file_""")
+def routing_index(spark, d):
+    r = over_tables(spark, d)
+    return routing.build_index({"runs": r.runs, "steps": r.steps}, ("agent_id", "document_id")).groupBy("column", "_file_").agg(F.count("*").alias("n"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY event_id) - 1)::BIGINT AS idx, event_type FROM events WHERE event_type <> 'error'", relations=False)
+def queue_clear(spark, d):
+    rows = _t(spark, d, "events").select(F.col("event_id").alias("idx"), "event_type")
+    return queueing.clear(rows, rows.where("event_type = 'error'"))
+
+
+@query("SELECT 'a' AS task, event_id AS idx FROM events WHERE event_id % 6 = 0 OR event_type = 'click' UNION ALL SELECT 'b', event_id FROM events WHERE event_id % 4 = 0", relations=False)
+def queue_mark(spark, d):
+    rows = _t(spark, d, "events").select(F.col("event_id").alias("idx"), "event_type")
+    seen = lambda task, n: rows.where(F.col("idx") % n == 0).select(F.lit(task).alias("task"), "idx")
+    return queueing.mark(seen("a", 6).unionAll(seen("b", 4)), rows.where("event_type = 'click'"), "a")
+
+
+@query("""SELECT conv_id, turn, coalesce(text, '') AS text, CASE WHEN coalesce(text, '') <> '' THEN 'text,' ELSE '' END || CASE WHEN turn % 2 = 0 THEN 'image' ELSE 'audio' END AS modalities,
+    length(coalesce(text, ''))::BIGINT AS char_count FROM conversations""", relations=False)
+def message_extraction(spark, d):
+    part = F.struct(F.lit("text").alias("type"), "text")
+    shown = F.struct(F.when(F.col("turn") % 2 == 0, "image_url").otherwise("input_audio").alias("type"), F.lit(None).cast("string").alias("text"))
+    said = _t(spark, d, "conversations").select("conv_id", "turn", scalars.extract_message(F.to_json(F.array(part, shown)), F.lit(False)).alias("m"))
+    return said.select("conv_id", "turn", "m.text", F.concat_ws(",", "m.modalities").alias("modalities"), "m.char_count")
+
+
+@query("SELECT event_id, 'call-' || event_id AS id, event_type AS name, '{\"u\":' || user_id || '}' AS arguments_json FROM events", relations=False)
+def wire_tool_calls(spark, d):
+    given = F.struct(F.concat(F.lit("call-"), F.col("event_id").cast("string")).alias("id"), F.struct(F.col("event_type").alias("name"), F.to_json(F.struct(F.col("user_id").alias("u"))).alias("arguments")).alias("function"))
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(given, given).alias("tool_calls")).alias("message"))).alias("choices")))
+    return _t(spark, d, "events").select("event_id", F.explode(scalars.wire_tool_calls(body)).alias("c")).select("event_id", "c.*")

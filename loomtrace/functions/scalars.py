@@ -155,3 +155,101 @@ def embed_text(text: Column, dim: int) -> Column:
             yield texts.map(lambda t: embedding(t, dim))
 
     return embed(text)
+
+
+#: What a message can hold, in order, and the keys and types that show it.
+MODALITIES = ("text", "image", "audio", "tool_call")
+SHOWN_BY = {"image": (("image", "image_url", "image_bytes"), ("image", "image_url")), "audio": (("audio", "input_audio"), ("audio", "input_audio"))}
+
+
+def message(value: object, called: bool = False) -> tuple[str, list[str], int]:
+    """Text parts joined by blanks, modalities, and length in code points of a message of any shape."""
+    texts: list[str] = []
+    found: set[str] = set()
+
+    def visit(node: object) -> None:
+        if isinstance(node, list):
+            for child in node:
+                visit(child)
+        elif isinstance(node, dict):
+            texts.extend(node[k] for k in ("text", "content") if isinstance(node.get(k), str) and node[k])
+            for name, (keys, types) in SHOWN_BY.items():
+                # false and 0 are present; null, "" and empty collections are not
+                if any(node.get(k) not in (None, "", [], {}) for k in keys) or node.get("type") in types:
+                    found.add(name)
+            for k in sorted(node):
+                if k != "text" and not (k == "content" and isinstance(node[k], str)):
+                    visit(node[k])
+
+    if isinstance(value, str):
+        texts.append(value)
+    else:
+        visit(value)
+    joined = " ".join(t for t in texts if t)
+    if joined:
+        found.add("text")
+    if called or "<tool_call>" in joined:
+        found.add("tool_call")
+    return joined, [m for m in MODALITIES if m in found], len(joined)
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("modalities", T.ArrayType(T.StringType())), T.StructField("char_count", T.LongType())]))
+def extract_message(values: pd.Series, called: pd.Series) -> pd.DataFrame:
+    """``message`` of JSON texts; what is no JSON is text itself."""
+    rows = []
+    for v, c in zip(values, called, strict=True):
+        try:
+            parsed = json.loads(v) if v is not None else None
+        except ValueError:
+            parsed = v
+        rows.append(message(parsed, bool(c)))
+    return pd.DataFrame(rows, columns=["text", "modalities", "char_count"])
+
+
+#: Types of an object that is a tool call itself.
+CALL_TYPES = frozenset({"tool_use", "function_call", "custom_tool_call", "local_shell_call"})
+
+
+def _call(value: object) -> tuple[str | None, str, str] | None:
+    """(id, name, arguments as JSON) of one call; None without a name."""
+    if not isinstance(value, dict):
+        return None
+    inner = value["function"] if isinstance(value.get("function"), dict) else {}
+    name = inner.get("name", value.get("name"))
+    if not isinstance(name, str):
+        return None
+    key = value.get("id", value.get("call_id"))
+    given = next((d[k] for d, k in ((inner, "arguments"), (value, "arguments"), (value, "input")) if k in d), {})
+    if isinstance(given, str):
+        try:
+            given = json.loads(given)
+        except ValueError:
+            pass
+    return key if isinstance(key, str) else None, name, json.dumps(given, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+
+
+def tool_calls(value: object) -> list[tuple[str | None, str, str]]:
+    """The calls anywhere in a request or response, each once, in order of first appearance."""
+    found: dict[tuple, None] = {}
+
+    def visit(node: object) -> None:
+        if isinstance(node, list):
+            for child in node:
+                visit(child)
+        elif isinstance(node, dict):
+            listed = node.get("tool_calls")
+            own = [node] if node.get("type") in CALL_TYPES else []
+            for c in [*(listed if isinstance(listed, list) else []), *own]:
+                if (call := _call(c)) is not None:
+                    found.setdefault(call)
+            for k in sorted(node):
+                if k != "tool_calls":
+                    visit(node[k])
+
+    visit(value)
+    return list(found)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("arguments_json", T.StringType())])))
+def wire_tool_calls(values: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("id", "name", "arguments_json"), c, strict=True)) for c in tool_calls(_load(v))] for v in values], dtype=object)

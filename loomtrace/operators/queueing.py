@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tables
+
 
 def ready(rows: DataFrame, consumed: DataFrame, task: str, index: str = "idx") -> DataFrame:
     """Rows that the task has not consumed; other tasks' marks do not count."""
@@ -83,3 +85,73 @@ class GroupSampler(Sampler):
             else:
                 at += 1
         return (out, out) if len(out) == n else ([], [])
+
+
+def get(rows: DataFrame, limit: int, offset: int = 0, index: str = "idx") -> DataFrame:
+    return rows.orderBy(index).offset(offset).limit(limit)
+
+
+def by_indices(rows: DataFrame, wanted: list[int], index: str = "idx") -> DataFrame:
+    """Rows in the order of the request; a repeated index gives its row again, an absent one none."""
+    places = rows.sparkSession.createDataFrame(list(enumerate(wanted)), f"__place long, {index} long")
+    return rows.join(F.broadcast(places), index).orderBy("__place").drop("__place").select(*rows.columns)  # as long as the request
+
+
+def mark(consumed: DataFrame, rows: DataFrame, task: str, index: str = "idx") -> DataFrame:
+    """The ledger with the rows marked for the task, each once."""
+    fresh = rows.select(F.lit(task).alias("task"), index).distinct()
+    return consumed.select("task", index).unionAll(fresh.join(consumed, ["task", index], "left_anti"))
+
+
+def reset(consumed: DataFrame, task: str) -> DataFrame:
+    return consumed.where(F.col("task") != task)
+
+
+def clear(rows: DataFrame, gone: DataFrame, index: str = "idx") -> DataFrame:
+    """Rows without those of ``gone``, numbered densely from 0 in order.
+
+    Ranks are taken within ranges of 65,536 indexes and shifted by the sizes of the ranges before, so that no task sorts all rows.
+    """
+    kept = rows.join(gone.select(index), index, "left_anti").withColumn("__range", F.floor(F.col(index) / (1 << 16)))
+    sizes = kept.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__range", before.alias("__start"))  # one row per range of 65,536
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(index)) - 1
+    placed = kept.withColumn("__rank", rank).join(starts, "__range")
+    return placed.select(*((F.col("__start") + F.col("__rank")).alias(c) if c == index else F.col(f"`{c}`") for c in rows.columns))
+
+
+class KeyValue:
+    """Values with tags under unique keys, kept in a table that hashes its keys."""
+
+    SCHEMA = "key string, value string, tags map<string,string>"
+
+    def __init__(self, table: tables.Table):
+        self.table = table
+
+    def put(self, items: DataFrame) -> None:
+        """Insert or replace; a key that stands twice in the batch is an error."""
+        if items.groupBy("key").count().where("count > 1").limit(1).count():
+            raise ValueError("a key stands twice in the batch")
+        if self.table.current() is None:
+            self.table.add(items)
+        else:
+            self.table.upsert(items, ["key"])
+
+    def get(self, keys: list[str]) -> DataFrame:
+        """One row per requested key, in the order of the request; an absent key has null for value."""
+        spark = self.table.spark
+        wanted = spark.createDataFrame(list(enumerate(keys)), "__place long, key string")
+        stored = spark.createDataFrame([], self.SCHEMA) if self.table.current() is None else self.table.read().where(F.col("key").isin(keys))
+        return wanted.join(stored, "key", "left").orderBy("__place").select("key", "value", "tags")
+
+    def list(self, **tags: str) -> DataFrame:
+        """Keys and tags of the rows that carry all the given tags."""
+        found = self.table.read()
+        for name, value in tags.items():
+            found = found.where(F.col("tags").getItem(name) == value)
+        return found.select("key", "tags")
+
+    def clear(self, keys: list[str] | None = None) -> None:
+        rows = self.table.read()
+        self.table.replace(rows.where(F.lit(False) if keys is None else ~F.col("key").isin(keys)))

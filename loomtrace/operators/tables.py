@@ -134,16 +134,19 @@ class Table:
         p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def current(self) -> str | None:
+    def _pointer(self) -> dict | None:
         p, fs = self._file("CURRENT")
-        if not fs.exists(p):
-            return None
-        return json.loads(self.spark.read.text(p.toString(), wholetext=True).first()[0])["generation"]
+        return json.loads(self.spark.read.text(p.toString(), wholetext=True).first()[0]) if fs.exists(p) else None
+
+    def current(self) -> str | None:
+        return None if (found := self._pointer()) is None else found["generation"]
 
     def read(self) -> DataFrame:
-        if (generation := self.current()) is None:
+        """The current rows, in the columns and types they were given in, even when there are none."""
+        if (found := self._pointer()) is None:
             raise FileNotFoundError(self.path)
-        return self.spark.read.parquet(f"{self.path}/{generation}").drop("__bucket")
+        schema = T.StructType.fromJson(json.loads(found["schema"]))
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{found['generation']}").select(*(F.col(f"`{c}`") for c in schema.names))
 
     def replace(self, rows: DataFrame) -> None:
         """Write a new generation, then move the pointer to it by a rename."""
@@ -152,13 +155,13 @@ class Table:
         if self.partition and self.partition[0] == "hash":
             _, column, buckets = self.partition
             tagged = rows.withColumn("__bucket", stable_bucket(column, dict(rows.dtypes)[column], buckets))
-            writer = tagged.repartition("__bucket").write.partitionBy("__bucket")
+            writer = tagged.hint("rebalance", "__bucket").write.partitionBy("__bucket")  # adaptive execution cuts a large bucket into several files
         elif self.partition:
-            writer = rows.repartition(self.partition[1]).write.partitionBy(self.partition[1])
+            writer = rows.hint("rebalance", self.partition[1]).write.partitionBy(self.partition[1])
         writer.parquet(f"{self.path}/{generation}")
         p, fs = self._file(f"CURRENT-{generation}")
         out = fs.create(p, True)
-        out.write(bytearray(json.dumps({"generation": generation}).encode()))
+        out.write(bytearray(json.dumps({"generation": generation, "schema": rows.schema.json()}).encode()))
         out.close()
         target, _ = self._file("CURRENT")
         fs.delete(target, False)
