@@ -28,9 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LABELLED, POOL = 12_000, 4_000
+LABELLED, POOL = 16_000, 6_000
 MIN_LABELLED = 20
 ROUNDS = 3
+#: Documents whose log-odds are summed at a time.
+ODDS_BLOCK = 512
 CONFIDENT = 0.97
 WORD_BITS, META_BITS = 18, 12
 ACCEPT = 0.5
@@ -90,21 +92,24 @@ class View:
     bias: float = 0.0
 
     def odds(self, rows: list[np.ndarray]) -> np.ndarray:
-        ends = np.cumsum([len(r) for r in rows])
-        sums = np.concatenate([[0.0], np.cumsum(self.weights[np.concatenate(rows)])]) if rows else np.zeros(1)
-        return self.bias + sums[ends] - sums[np.concatenate([[0], ends[:-1]])] if rows else np.zeros(0)
+        found = np.zeros(len(rows))
+        for low in range(0, len(rows), ODDS_BLOCK):  # to bound what is gathered at a time
+            part = rows[low : low + ODDS_BLOCK]
+            ends = np.cumsum([len(r) for r in part])
+            sums = np.concatenate([[0.0], np.cumsum(self.weights[np.concatenate(part)])])
+            found[low : low + len(part)] = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
+        return self.bias + found
 
 
 def fit(rows: list[np.ndarray], good: np.ndarray, width: int, passes: int = 10, rate: float = 0.5, decay: float = 2e-4, batch: int = 128, start: float = 1e-2) -> View:
     """Logistic regression by AdaGrad over batches in a fixed order; documents of both classes weigh alike."""
-    flat = np.concatenate(rows)
-    used = np.nonzero(np.bincount(flat, minlength=width) > 1)[0]  # what one document alone has teaches nothing about others
+    seen = np.zeros(width, np.int32)
+    for r in rows:
+        seen[r] += 1  # a row's features are distinct
+    used = np.nonzero(seen > 1)[0]  # what one document alone has teaches nothing about others
     place = np.full(width, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    flat = place[flat]
-    kept = np.add.reduceat((flat >= 0).astype(np.int64), np.cumsum([0, *(len(r) for r in rows[:-1])]))
-    flat, ends = flat[flat >= 0], np.cumsum(kept)
-    rows = [flat[b - n : b] for n, b in zip(kept, ends, strict=True)]
+    rows = [p[p >= 0] for p in (place[r] for r in rows)]
     view, sums, at_bias = View(np.zeros(len(used))), np.full(len(used), start), 1e-6
     weight = np.where(good, 0.5 / max(good.mean(), 1e-9), 0.5 / max(1 - good.mean(), 1e-9))
     order = np.random.RandomState(2)
@@ -201,9 +206,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     rows = base.join(picked, "doc_id").mapInPandas(_featured, "good int, content binary, meta binary, place long").toPandas().sort_values("place", kind="stable")
     content = [np.frombuffer(x, np.int32) for x in rows["content"]]
     meta = [np.frombuffer(x, np.int32) for x in rows["meta"]]
-    given = rows["good"].notna().to_numpy()
+    good, given = rows["good"].to_numpy(), rows["good"].notna().to_numpy()
+    del rows
     pick = lambda x, at: [x[i] for i in np.nonzero(at)[0]]
-    return cotrain(pick(content, given), pick(meta, given), rows["good"][given].to_numpy().astype(bool), pick(content, ~given), pick(meta, ~given))
+    return cotrain(pick(content, given), pick(meta, given), good[given].astype(bool), pick(content, ~given), pick(meta, ~given))
 
 
 def classify(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
