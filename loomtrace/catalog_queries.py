@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import analysis, eventlog, exchange, explorer, ivf, projection, queueing, search, tables
+from .operators import analysis, eventlog, exchange, explorer, ivf, projection, queueing, results, search, tables
 from .plans import routing
 from .relations import CTES, over_tables
 from .streaming import turns
@@ -597,3 +597,60 @@ def wire_tool_calls(spark, d):
     given = F.struct(F.concat(F.lit("call-"), F.col("event_id").cast("string")).alias("id"), F.struct(F.col("event_type").alias("name"), F.to_json(F.struct(F.col("user_id").alias("u"))).alias("arguments")).alias("function"))
     body = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(given, given).alias("tool_calls")).alias("message"))).alias("choices")))
     return _t(spark, d, "events").select("event_id", F.explode(scalars.wire_tool_calls(body)).alias("c")).select("event_id", "c.*")
+
+
+# -- results, comparison, projections and whole runs -----------------------------------------------------
+
+
+@query("""SELECT r._file_, r.document_id, agent_id, coalesce(turn_count, 0)::BIGINT AS turn_count, coalesce(agent_turns, 0)::BIGINT AS agent_turns, coalesce(model_count, 0)::BIGINT AS model_count,
+    coalesce(call_count, 0)::BIGINT AS call_count, coalesce(sample_count, 0)::BIGINT AS sample_count, p50, p95, max_value FROM runs r
+    LEFT JOIN (SELECT _file_, document_id, count(*) AS turn_count, count(*) FILTER (source = 'agent') AS agent_turns, count(DISTINCT model_name) AS model_count, count(latency_ms) AS sample_count,
+        (list(latency_ms ORDER BY latency_ms) FILTER (latency_ms IS NOT NULL))[ceil((count(latency_ms) - 1) * 0.5)::INT + 1] AS p50,
+        (list(latency_ms ORDER BY latency_ms) FILTER (latency_ms IS NOT NULL))[ceil((count(latency_ms) - 1) * 0.95)::INT + 1] AS p95, max(latency_ms) AS max_value FROM steps GROUP BY 1, 2) s USING (_file_, document_id)
+    LEFT JOIN (SELECT _file_, document_id, count(*) AS call_count FROM calls GROUP BY 1, 2) c USING (_file_, document_id)""")
+def run_analysis(spark, d):
+    return analysis.run_analysis(over_tables(spark, d))
+
+
+def _results(spark, d):
+    return _t(spark, d, "events").select((F.col("event_id") % 500).alias("task_id"), F.col("event_id").alias("finished_at"), F.when(F.col("event_type") == "error", "failed").otherwise("ready").alias("status"), F.when(F.col("user_id") % 2 == 0, "io").alias("error_kind"))
+
+
+_SETTLED = """WITH r AS (SELECT event_id % 500 AS task_id, event_id AS finished_at, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ready' END AS status, CASE WHEN user_id % 2 = 0 THEN 'io' END AS error_kind FROM events),
+    f AS (SELECT * FROM r WHERE task_id % 7 <> 0 AND task_id % 11 <> 0 QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY finished_at) = 1) """
+
+
+def _settled(spark, d):
+    found = _results(spark, d)
+    known = lambda n: found.where(F.col("task_id") % n == 0).select("task_id").distinct()
+    return results.settle(found, known(7), known(11))
+
+
+@query(_SETTLED + "SELECT task_id, finished_at, status FROM f WHERE status = 'ready'", relations=False)
+def results_ready(spark, d):
+    return _settled(spark, d)[0]
+
+
+@query(_SETTLED + "SELECT task_id, finished_at, status, coalesce(error_kind, 'execute') AS error_kind FROM f WHERE status = 'failed'", relations=False)
+def results_failed(spark, d):
+    return _settled(spark, d)[1]
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'replayed_empty' WHEN turn % 5 = 0 THEN 'original_empty' ELSE 'comparable' END AS status, turn % 3 > 0 AND turn % 5 > 0 AS exact,
+    CASE WHEN turn % 3 > 0 AND turn % 5 > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS similarity FROM conversations WHERE trim(text) <> '' AND turn % 15 <> 0""", relations=False)
+def content_comparison(spark, d):
+    talk = _t(spark, d, "conversations").where((F.btrim("text") != "") & (F.col("turn") % 15 != 0))
+    left = F.when((F.col("turn") % 5 > 0) | (F.col("turn") % 3 == 0), F.col("text"))
+    right = F.when(F.col("turn") % 3 > 0, F.col("text")).otherwise(" ")
+    return talk.select("conv_id", "turn", results.content_comparison(left, right).alias("c")).select("conv_id", "turn", "c.status", "c.exact", "c.similarity")
+
+
+@query("""WITH p AS (SELECT 'e' || o_custkey AS event_file, 'p' || o_orderkey AS projection_file, o_orderstatus = 'F' AS fresh, left(CAST(o_orderdate AS VARCHAR), 10) AS last_modified, o_orderpriority AS generation FROM orders),
+    w AS (SELECT event_file AS _file_, count(*) AS n, max({'fresh': fresh, 'last_modified': last_modified, 'generation': generation, 'projection_file': projection_file}) AS best FROM p GROUP BY 1)
+    SELECT 'e' || c_custkey AS _file_, CASE WHEN best IS NULL THEN 'missing' WHEN best.fresh THEN 'fresh' ELSE 'stale' END AS projection_status, best.generation AS projection_generation,
+        coalesce(n, 0)::BIGINT AS projection_candidates, CASE WHEN best.fresh THEN best.projection_file END AS served_by FROM customer LEFT JOIN w ON w._file_ = 'e' || c_custkey""", relations=False)
+def projection_binding(spark, d):
+    orders, name = _t(spark, d, "orders"), lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    made = orders.select(name("e", "o_custkey").alias("event_file"), name("p", "o_orderkey").alias("projection_file"), (F.col("o_orderstatus") == "F").alias("fresh"), F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("last_modified"), F.col("o_orderpriority").alias("generation"))
+    sources = _t(spark, d, "customer").select(name("e", "c_custkey").alias("_file_"), F.lit("events").alias("kind")).unionAll(made.select("projection_file", F.lit("storyline")))
+    return results.bind_projections(sources, made).drop("kind")

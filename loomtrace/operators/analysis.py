@@ -103,18 +103,32 @@ def percentile(samples: Column, p: float) -> Column:
     return F.when(F.count(samples) > 0, F.element_at(ordered, F.ceil((F.count(samples) - 1) * p).cast("int") + 1))
 
 
-def percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
+def percentiles(rows: DataFrame, by: str | list[str], value: str) -> DataFrame:
     """p50, p95 and maximum of one value, with how many rows have it.
 
     Exact and without a list per group: samples are numbered within partial counts of equal values,
     so a group of any size is a sorted run of (value, count) pairs.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("k"))
-    w = Window.partitionBy(by).orderBy(value)
+    by = [by] if isinstance(by, str) else by
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
+    w = Window.partitionBy(*by).orderBy(value)
     upto = counted.withColumn("upto", F.sum("k").over(w)).withColumn("n", F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     at = lambda p: F.min(F.when(F.col("upto") > F.ceil((F.col("n") - 1) * F.lit(p)), F.col(value)))
-    stats = upto.groupBy(by).agg(F.max("n").alias("sample_count"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("max_value"))
-    return rows.groupBy(by).agg(F.count("*").alias("total_count")).join(stats, by, "left").select(by, "total_count", F.coalesce("sample_count", F.lit(0)).alias("sample_count"), "p50", "p95", "max_value")
+    stats = upto.groupBy(*by).agg(F.max("n").alias("sample_count"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("max_value"))
+    return rows.groupBy(*by).agg(F.count("*").alias("total_count")).join(stats, by, "left").select(*by, "total_count", F.coalesce("sample_count", F.lit(0)).alias("sample_count"), "p50", "p95", "max_value")
+
+
+def run_analysis(r: Relations) -> DataFrame:
+    """Per document: turns and agent turns, calls, distinct models, and percentiles of latency with their coverage.
+
+    Each side is aggregated by document before the join; no list of a document's samples is held.
+    """
+    key = ["_file_", "document_id"]
+    steps = r.steps.groupBy(*key).agg(F.count("*").alias("turn_count"), _count_if(F.col("source") == "agent").alias("agent_turns"), F.count_distinct("model_name").alias("model_count"))
+    calls = r.tool_calls.groupBy(*key).agg(F.count("*").alias("call_count"))
+    latency = percentiles(r.steps, key, "latency_ms").drop("total_count")
+    found = r.runs.select(*key, "agent_id").join(steps, key, "left").join(calls, key, "left").join(latency, key, "left")
+    return found.select(*key, "agent_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("turn_count", "agent_turns", "model_count", "call_count", "sample_count")), "p50", "p95", "max_value")
 
 
 def latency_histogram(rows: DataFrame, value: str = "latency_ms") -> DataFrame:
