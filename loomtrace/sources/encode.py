@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..relations import Relations
 from . import storyline as hub
+from . import unknown
 
 DOCUMENT = ["_file_", "document_id"]
 ROLES = {"agent": "assistant"}
@@ -59,6 +60,11 @@ def _stamp(step: dict) -> object:
     return given if given is not None else step.get("timestamp")
 
 
+def _carried(row: dict, form: str) -> dict:
+    """Fields that the dialect did not define when the document was read from it."""
+    return (_value(row.get("unknown_fields_json")) or {}).get(form) or {}
+
+
 def atif(row: dict) -> dict:
     steps = []
     for s in checked(row):
@@ -81,10 +87,12 @@ def atif(row: dict) -> dict:
         raise ValueError("a document without session or agent")
     version = row["schema_version"] if (row["schema_version"] or "").startswith("ATIF") else "ATIF-v1.7"
     agent = _present(name=row["agent_name"] or row["agent_id"], version=row["agent_version"] or "unknown", model_name=row["agent_model_name"], tool_definitions=_value(row["agent_tool_definitions_json"]), extra=_value(row["agent_extra_json"]))
-    return _present(
+    made = _present(
         schema_version=version, session_id=row["session_id"], trajectory_id=row["document_id"] if row["trajectory_id_explicit"] is True else None, agent=agent, steps=steps, notes=row["notes"],
         final_metrics=_value(row["final_metrics_json"]), continued_trajectory_ref=row["continued_trajectory_ref"], extra=_value(row["extra_json"]),
     )
+    unknown.restore(made, _carried(row, "atif"))
+    return made
 
 
 def actf(row: dict) -> dict:
@@ -99,7 +107,9 @@ def actf(row: dict) -> dict:
         ))
     task, _, attempt = row["session_id"].partition("#attempt-")
     head = _value(row["task_json"]) or {"task_id": task}
-    return head | {"attempts": {attempt or "1": (_value(row["final_metrics_json"]) or {}) | {"trajectory": {"schema_version": "ACTF_v1.0", "steps": steps}}}}
+    path = {"schema_version": "ACTF_v1.0", "steps": steps}
+    unknown.restore(path, _carried(row, "actf"))
+    return head | {"attempts": {attempt or "1": (_value(row["final_metrics_json"]) or {}) | {"trajectory": path}}}
 
 
 def openai(row: dict) -> list[dict]:
