@@ -7,6 +7,7 @@ turn's fields and the byte length of the message that follows. A block without a
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 from .common_rows import CALL, RUN, STEP, Row, effective_kind, stamp, text
@@ -17,7 +18,9 @@ except ImportError:
     yaml = None
 
 VERSION = "storyline/v1"
-MARK = b"<!-- persisting:block"
+#: Opening of a block: a comment of any writer's name.
+BLOCK = re.compile(rb"<!-- [A-Za-z][\w-]*:block")
+WRITER = "trace"
 SPEAKERS = {"user": "user", "assistant": "agent", "agent": "agent"}
 
 #: Wire keys and the relation columns that hold them; a column ending in ``_json`` holds the value as JSON text.
@@ -108,15 +111,16 @@ def _compact(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
-def to_markdown(doc: dict) -> str:
+def to_markdown(doc: dict, writer: str = WRITER) -> str:
+    """The Markdown text; ``writer`` is the name in the front matter and the block comments."""
     head = {k: v for k, v in doc.items() if k != "turns"}
-    out = [f"---\nformat: persisting\nstoryline: {_compact(head)}\n---\n\n"]
+    out = [f"---\nformat: {writer}\nstoryline: {_compact(head)}\n---\n\n"]
     for turn in doc["turns"]:
         said = turn["msg"]
         form, body = ("text", said) if isinstance(said, str) else ("json", json.dumps(said, ensure_ascii=False, indent=2))
         fields = {"type": form, "length": len(body.encode()), "message_encoding": form, "source": turn["src"], "step_id": turn["id"], "storyline": {k: v for k, v in turn.items() if k != "msg"}}
         # a comment ends at its first "-->", so that the fields must not hold one
-        out.append(f"{MARK.decode()}:{turn['src']} {_compact(fields).replace('-->', '--' + chr(92) + 'u003e')} -->\n\n{body}\n\n")
+        out.append(f"<!-- {writer}:block:{turn['src']} {_compact(fields).replace('-->', '--' + chr(92) + 'u003e')} -->\n\n{body}\n\n")
     return "".join(out)
 
 
@@ -155,18 +159,18 @@ def blocks(content: str) -> tuple[dict, list[tuple[dict, str]]]:
     head, body = _front(content.encode())
     if not body.strip():
         return head, []
-    if MARK not in body:
+    if not BLOCK.search(body):
         return head, [({"source": "system"}, body.strip().decode())]
     found, at = [], _blank(body, 0)
     while at < len(body):
         end = body.find(b"\n", at)
         end = len(body) if end < 0 else end
         line = body[at:end].strip()
-        if not line.startswith(MARK):
+        if not (mark := BLOCK.match(line)):
             raise Invalid(f"expected a block at byte {at}")
         if not line.endswith(b"-->"):
             raise Invalid("unclosed block comment")
-        speaker, brace, rest = line[len(MARK) : -3].lstrip(b":").partition(b"{")
+        speaker, brace, rest = line[mark.end() : -3].lstrip(b":").partition(b"{")
         fields = json.loads(brace + rest) if brace else {}
         if speaker.strip() and not fields.keys() & {"source", "role"}:
             fields["source"] = SPEAKERS.get(speaker.strip().decode(), "system")
@@ -174,8 +178,8 @@ def blocks(content: str) -> tuple[dict, list[tuple[dict, str]]]:
         start = min(end + 1, len(body))
         if length is None:
             start = _blank(body, start)
-            stop = body.find(MARK, start)
-            stop = len(body) if stop < 0 else stop
+            after = BLOCK.search(body, start)
+            stop = after.start() if after else len(body)
             said = body[start:stop].rstrip(b"\r\n")
         else:
             start += 2 if body[start : start + 2] == b"\r\n" else 1 if body[start : start + 1] == b"\n" else 0

@@ -11,7 +11,7 @@ DOC = {
     "schema_version": "storyline/v1", "run": "r-1", "trajectory": "t-1", "session": "s-1", "agent": {"id": "a", "ver": "1.2", "model": "m", "tools": [{"name": "look"}]},
     "parent": {"psid": "p-1", "scid": "c-0"}, "children": ["s-2"], "notes": "read -->", "final_metrics": {"score": 1},
     "turns": [
-        {"id": 1, "ts": "2026-01-01T00:00:00.5Z", "src": "user", "msg": "two\n\n<!-- persisting:block:user -->\nlines\n"},
+        {"id": 1, "ts": "2026-01-01T00:00:00.5Z", "src": "user", "msg": "two\n\n<!-- tracer:block:user -->\nlines\n"},
         {"id": 7, "src": "agent", "msg": [{"type": "text", "text": "é -->"}], "reason": "why", "latency_ms": 50, "copied": False, "extra": {"note": "a --> b"},
          "tool_calls": [{"tcid": "c-1", "fn": "look", "args": {"q": "x"}, "duration_ms": 12}], "observation": {"results": [{"source_call_id": "c-1", "content": "ok"}]}},
         {"id": 8, "src": "agent", "msg": "", "tool_calls": []},
@@ -34,9 +34,9 @@ def test_rows_and_round_trips(spark, tmp_path):
 
 def test_blocks_by_hand():
     assert storyline.blocks("  plain\n") == ({}, [({"source": "system"}, "plain")])
-    assert storyline.blocks("\n \n") == ({}, [])
-    head, found = storyline.blocks("---\nformat: persisting\n---\n\n<!-- persisting:block:assistant -->\n\none\n\n<!-- persisting:block user {\"k\":1} -->\ntwo")
-    assert head == {"format": "persisting"} and found == [({"source": "agent"}, "one"), ({"k": 1, "source": "user"}, "two")]
+    assert storyline.blocks("\n \n") == ({}, []) and storyline.from_markdown(storyline.to_markdown(DOC, "other-tool")) == DOC
+    head, found = storyline.blocks("---\nformat: tracer\n---\n\n<!-- tracer:block:assistant -->\n\none\n\n<!-- tracer:block user {\"k\":1} -->\ntwo")
+    assert head == {"format": "tracer"} and found == [({"source": "agent"}, "one"), ({"k": 1, "source": "user"}, "two")]
 
 
 @pytest.mark.parametrize("change", [
@@ -48,7 +48,7 @@ def test_broken_documents(change):
         decode.decode(json.dumps(DOC | change))
 
 
-@pytest.mark.parametrize("content", ["---\nstoryline: {}", "plain", "<!-- persisting:block:user {\"length\":9} -->\n\nab", "<!-- persisting:block:user -->\n\nab"])
+@pytest.mark.parametrize("content", ["---\nstoryline: {}", "plain", "<!-- tracer:block:user {\"length\":9} -->\n\nab", "<!-- tracer:block:user -->\n\nab"])
 def test_broken_markdown(content):
     with pytest.raises(storyline.Invalid):
         storyline.from_markdown(content)
