@@ -1,53 +1,71 @@
 """Line dedup (operator 9): winnowing over line hashes.
 
-A document is its sequence of non-blank lines, each stripped and hashed. In every window of
-``run`` consecutive lines the least hash is a fingerprint, so two documents that share
-``run`` lines in a row are sure to share a fingerprint. Fingerprints that occur once are let go; from
-the others matches are extended both ways to the whole windows around them. A window that
-also stands earlier (in a smaller doc_id, or further up in the same document) is a repeat, and
-every line of a repeat is deleted; overlapping windows make up runs of any length.
+A document is its sequence of non-blank lines, each stripped and hashed. A window is ``run``
+consecutive lines, or fewer that hold more than ``long_words`` words together, down to a single long line.
+The least hash of a window is its fingerprint, so two documents that share a window are sure to share
+a fingerprint. Fingerprints that occur once are let go; from the others matches are extended both
+ways to the whole windows around them. A window that also stands earlier (in a smaller doc_id, or
+further up in the same document) is a repeat, and every line of a repeat is deleted; overlapping
+windows make up runs of any length.
 
 Windows meet on keys by aggregation, never as pairs, and each occurrence is judged on the input.
 
-Edge cases: null text counts as empty; documents of fewer than ``run`` lines lose nothing; null
-doc_ids come last; rows of equal doc_id are ordered by their text's hash, and equal rows are one
-document, treated alike; blank lines stay; all columns of the input are kept.
+Edge cases: null text counts as empty; documents of fewer than ``run`` lines lose long windows only, and
+nothing where ``long_words`` is None; null doc_ids come last; rows of equal doc_id are ordered by
+their text's hash, and equal rows are one document, treated alike; blank lines stay; all columns of the
+input are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, words
 
 RUN = 3
+#: Fewer lines than ``RUN`` are a repeat if they hold more words than this.
+LONG_WORDS = 50
 #: What is stripped from a line's ends before it is compared.
 BLANKS = " \t\x0b\x0c\r"
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def _windows(run: int, long_words: int | None) -> Column:
+    """Windows (gram, at) over ``lines``: of ``run`` lines, and the shorter ones of more than ``long_words`` words."""
+    hashes, places, counts = F.col("lines.h"), F.col("lines.i"), F.col("lines.n")
+
+    def of(length: int) -> Column:
+        starts = F.when(F.size("lines") >= length, F.sequence(F.lit(1), F.size("lines") - length + 1)).otherwise(F.array().cast("array<int>"))
+        if length < run:
+            starts = F.filter(starts, lambda k: sum((F.get(counts, k + j - 1) for j in range(length)), F.lit(0)) > long_words)
+        return F.transform(starts, lambda k: F.struct(F.slice(hashes, k, length).alias("gram"), F.slice(places, k, length).alias("at")))
+
+    return F.concat(*[of(length) for length in range(run if long_words is None else 1, run + 1)])
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int | None = LONG_WORDS) -> DataFrame:
     """For every document that loses lines: id, th (hash of its text), gone (0-based numbers of deleted lines)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     stripped = F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
     lines = F.filter(F.transform(stripped, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("i"), x.alias("x"))), lambda s: s.x != "")
-    lines = F.transform(lines, lambda s: F.struct(s.h.alias("h"), s.i.alias("i")))
-    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), lines.alias("lines")).where(F.size("lines") >= run)
-    hashes, places = F.col("lines.h"), F.col("lines.i")
-    windows = F.transform(F.sequence(F.lit(1), F.size("lines") - run + 1), lambda k: F.struct(F.slice(hashes, k, run).alias("gram"), F.slice(places, k, run).alias("at")))
-    each = base.select("id", "th", F.explode(windows).alias("w")).select(F.col("id").isNull().alias("last"), "id", "th", F.col("w.gram").alias("gram"), F.col("w.at").alias("at"))
+    count = (lambda x: F.lit(0).cast("long")) if long_words is None else words
+    lines = F.transform(lines, lambda s: F.struct(s.h.alias("h"), s.i.alias("i"), count(s.x).alias("n")))
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), lines.alias("lines")).where(F.size("lines") >= (run if long_words is None else 1))
+    each = base.select("id", "th", F.explode(_windows(run, long_words)).alias("w")).select(F.col("id").isNull().alias("last"), "id", "th", F.col("w.gram").alias("gram"), F.col("w.at").alias("at"))
     each = each.withColumn("mark", F.array_min("gram"))
+    # where the mark's line stands: windows of one line would otherwise look like several places of it
+    spot = F.struct("last", "id", "th", F.get("at", F.array_position("gram", F.col("mark")).cast("int") - 1))
     place = F.struct("last", "id", "th", F.col("at")[0])
-    shared = each.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("mark")
+    shared = each.groupBy("mark").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a != b").select("mark")
     found = materialise(each.join(shared, "mark", "left_semi"))
     first = found.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("gram", "a")
     later = found.join(first, "gram").where(place != F.col("a")).select("id", "th", F.explode("at").alias("line"))
     return later.groupBy("id", "th").agg(F.collect_set("line").alias("gone"))
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int | None = LONG_WORDS) -> DataFrame:
     """``docs`` with cleaned texts, and line_report: n_lines, n_removed, n_runs (maximal deleted runs of line numbers)."""
-    gone = repeated_lines(docs, id_col, text_col, run).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    gone = repeated_lines(docs, id_col, text_col, run, long_words).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     held = docs.withColumn("__key", F.xxhash64(text))
     joined = held.join(gone, held[id_col].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left")

@@ -52,7 +52,8 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.drop_repeats(_table(spark, sf_dir, "documents"))
+    # the SQL knows runs of three lines only
+    cleaned = line_dedup.drop_repeats(_table(spark, sf_dir, "documents"), long_words=None)
     return cleaned.select("doc_id", "line_report.n_lines", "line_report.n_removed", "line_report.n_runs", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
