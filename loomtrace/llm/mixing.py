@@ -77,11 +77,11 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], s: int, t: int)
             v = to[via[v] ^ 1]
 
 
-def mix(docs: DataFrame, memberships: Column, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, pattern, size, epochs, taken, source_size, target for every row; the last two are the first source's."""
+def mix(docs: DataFrame, memberships: Column, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, pattern, size, epochs, taken, source_size, target and the columns of ``keep`` for every row; source_size and target are the first source's."""
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.col("size").cast("string")))
     base = materialise(
-        docs.select(F.col(f"`{id_col}`"), words(F.col(f"`{text_col}`")).alias("size"), F.array_sort(F.array_distinct(memberships)).alias("pattern")).withColumn("key", key)
+        docs.select(F.col(f"`{id_col}`"), words(F.col(f"`{text_col}`")).alias("size"), F.array_sort(F.array_distinct(memberships)).alias("pattern"), *keep).withColumn("key", key)
     )
     spark = docs.sparkSession
     sums = [(list(r["pattern"]), int(r["size"])) for r in base.groupBy("pattern").agg(F.sum("size").alias("size")).collect()]
@@ -112,15 +112,12 @@ def mix(docs: DataFrame, memberships: Column, id_col: str = "doc_id", text_col:
     ranked = placed.join(before, ["pattern", "bucket"]).join(F.broadcast(plan), "pattern")  # one row per pattern
     epochs = F.col("passes") + (2 * (F.col("base") + F.col("own")) + F.col("size") <= 2 * F.col("rest")).cast("long")
     epochs = F.when((F.col("rest") > 0) & (F.col("size") > 0), epochs).otherwise(F.col("passes"))
-    return ranked.select(id_col, "pattern", "size", "source_size", "target", epochs.alias("epochs"), (epochs * F.col("size")).alias("taken"))
+    return ranked.select(id_col, "pattern", "size", "source_size", "target", epochs.alias("epochs"), (epochs * F.col("size")).alias("taken"), *keep)
 
 
 def repeat(docs: DataFrame, memberships: Column, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with every row as often as the mix takes it (documents without words as often as their pattern's whole passes)."""
-    taken = mix(docs, memberships, id_col, text_col, **how)
-    # rows of equal id and size are alike to the mix, so their epochs are summed up and dealt evenly
-    alike = taken.groupBy(id_col, "size", "pattern").agg(F.array_sort(F.collect_list("epochs")).alias("each")).select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("pattern").alias("__pattern"), F.col("each")[0].alias("__epochs"))
-    held = docs.withColumn("__n", words(F.col(f"`{text_col}`"))).withColumn("__p", F.array_sort(F.array_distinct(memberships)))
-    joined = held.join(alike, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")) & (F.col("__p") == F.col("__pattern")))
-    times = F.greatest(F.col("__epochs"), F.lit(0)).cast("int")
-    return joined.where("__epochs > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    # rows of equal id and size can differ in their epochs, so every row is numbered, for good, before the mix
+    held = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
+    taken = mix(held, memberships, id_col, text_col, **how, keep=["__row"]).where("epochs > 0").select("__row", F.col("epochs").cast("int").alias("__epochs"))
+    return held.join(taken, "__row").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__epochs")))).select(*[F.col(f"`{c}`") for c in docs.columns])
