@@ -52,8 +52,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL knows runs of three lines only
-    cleaned = line_dedup.drop_repeats(_table(spark, sf_dir, "documents"), long_words=None)
+    cleaned = line_dedup.drop_repeats(_table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "line_report.n_lines", "line_report.n_removed", "line_report.n_runs", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -115,8 +114,11 @@ ORACLE_SQL = {
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         e AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
         n AS (SELECT doc_id, i, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS x FROM e),
-        g AS (SELECT doc_id, [i, lead(i, 1) OVER w, lead(i, 2) OVER w] AS spot, x || chr(10) || lead(x, 1) OVER w || chr(10) || lead(x, 2) OVER w AS gram
-              FROM n WHERE x <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        t AS (SELECT doc_id, i, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n, lead(i, 1) OVER w AS i1, lead(i, 2) OVER w AS i2,
+                     lead(x, 1) OVER w AS x1, lead(x, 2) OVER w AS x2 FROM n WHERE x <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        g AS (SELECT doc_id, [i, i1, i2] AS spot, x || chr(10) || x1 || chr(10) || x2 AS gram FROM t
+              UNION ALL SELECT doc_id, [i], x FROM t WHERE n > 50
+              UNION ALL SELECT doc_id, [i, i1], x || chr(10) || x1 FROM t WHERE n + len(regexp_extract_all(x1, '[^\x20\x09-\x0D]+')) > 50),
         r AS (SELECT doc_id, spot, row_number() OVER (PARTITION BY gram ORDER BY doc_id, spot[1]) AS k FROM g WHERE gram IS NOT NULL),
         x AS (SELECT DISTINCT doc_id, unnest(spot) AS i FROM r WHERE k > 1),
         m AS (SELECT e.doc_id, e.i, e.line, x.i IS NOT NULL AS gone FROM e LEFT JOIN x USING (doc_id, i)),
