@@ -1,25 +1,29 @@
 """Quality classifier (operator 2): co-training of two views.
 
-One view is a document's content: the presence of hashed words and the shape of its characters. The
-other is its page's metadata: source, language, length and layout, but no words. A logistic
-model per view is fitted on labelled documents; over rounds, each view labels the documents of an
-unlabelled pool of which it is confident, and the other view learns from these too. On labelled documents
-that neither model has seen, each view's log-odds are calibrated and weights are fitted to combine them;
-then every document is scored.
-
-Fitting uses bounded samples, chosen by a hash of the id: LABELLED documents with labels (a quarter of them
-for calibration) and POOL without. All documents are scored, over their whole texts.
-
-A document is good if its quality label is 1 and it is not toxic; a null label counts as 0, and of
-repeated labels the worst holds. Edge cases: null text counts as empty; null metadata is a value of its own;
-with fewer than MIN_LABELLED labelled documents or with one class only, every document gets the share of good ones
-(1.0 without labels); repeated rows get equal scores; extra columns are kept, those named like the results replaced.
+One view is a document's content: the presence of hashed words, the shape of its characters and its lines. The
+other is its page's metadata (METADATA: source, language, recorded length), of which nothing is read from the text. A
+logistic model per view is fitted on labelled documents. In each round both views score every unlabelled document
+in a distributed pass; those of which a view is confident are drawn from all of them, by a hash and in equal
+numbers of either class, as pseudo-labelled documents from which the other view learns too. On labelled documents that neither
+model has seen, each view's log-odds are calibrated and weights are fitted to combine them; then every document is scored.
+
+Fitting uses bounded samples of labelled rows, chosen by hash: LABELLED documents with labels (a quarter of them for
+calibration) and, per round, view and class, TAUGHT pseudo-labelled ones. All features of the samples are used. What is counted and
+scored are all documents, over their whole texts.
+
+A document is good if its quality label is 1 and it is not toxic; a null label counts as 0, and of repeated labels the
+worst holds. Edge cases: null text counts as empty; null or missing metadata is a value of its own; documents with a null id are unlabelled;
+rows of equal id and text are one document for the fit and get equal scores, also in ties; labels of documents that
+are not there teach nothing; with fewer than two held-out or two fitted documents of a class there is no model, and every
+document gets the share of good ones (1.0 without labels); a very long text is scored whole; an empty table gives no rows.
+Extra columns are kept, whatever their names; those named like the results, in any case of letters, are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import log2
 from zlib import crc32
 
@@ -28,9 +32,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LABELLED, POOL = 16_000, 6_000
-MIN_LABELLED = 20
+from .common import materialise, numbered, small
+
+LABELLED, TAUGHT = 16_000, 500
 ROUNDS = 3
+METADATA = ("source", "lang", "n_chars")
+RESULTS = ("quality_score", "accepted")
 #: Documents whose log-odds are summed at a time.
 ODDS_BLOCK = 512
 CONFIDENT = 0.97
@@ -53,8 +60,8 @@ def _steps(name: str, value: float, width: float) -> bytes:
     return f"{name}={int(value / width)}".encode()
 
 
-def features(text: str | None, source: str | None, lang: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of the two views."""
+def content_features(text: str | None) -> np.ndarray:
+    """Feature numbers of the content view."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     size, lines = max(1, len(raw)), raw.count(b"\n") + 1
     data = np.frombuffer(raw.translate(_FOLD), np.uint8)
@@ -74,14 +81,18 @@ def features(text: str | None, source: str | None, lang: str | None) -> tuple[np
     shape = [
         _steps("marks", min(marks / size, 0.3), 0.01), _steps("repeats", min((words[1:] == words[:-1]).sum() / n, 0.5), 0.02), _steps("kinds", len(seen) / n, 0.05),
         _steps("short", min((lengths < 2).sum() / n, 0.5), 0.02), _steps("capitals", min(capitals / size, 0.3), 0.01), _steps("digits", min(digits / size, 0.3), 0.01),
-        _steps("length", size / n, 1.0), _steps("empty", not len(words), 1),
-    ]
-    content = np.concatenate([seen.astype(np.int64), begun.astype(np.int64) + (1 << WORD_BITS), [(2 << WORD_BITS) + (crc32(s) & 0xFFF) for s in shape]]).astype(np.int32)
-    meta = [
-        b"source=" + str(source).encode(), b"lang=" + str(lang).encode(), _steps("size", log2(size), 1.0), _steps("lines", log2(lines), 1.0),
-        _steps("line", log2(1 + size / lines), 0.5), f"lang-size={lang}-{int(log2(size))}".encode(),
+        _steps("length", size / n, 1.0), _steps("empty", not len(words), 1), _steps("size", log2(size), 1.0), _steps("lines", log2(lines), 1.0),
+        _steps("line", log2(1 + size / lines), 0.5),
     ]
-    return content, np.array([crc32(m) & ((1 << META_BITS) - 1) for m in meta], np.int32)
+    shapes = np.unique([(2 << WORD_BITS) + (crc32(x) & 0xFFF) for x in shape])
+    return np.concatenate([seen.astype(np.int64), begun.astype(np.int64) + (1 << WORD_BITS), shapes]).astype(np.int32)
+
+
+def meta_features(source: str | None, lang: str | None, n_chars: float | None) -> np.ndarray:
+    """Feature numbers of the metadata view."""
+    size = "none" if n_chars is None or n_chars != n_chars else str(int(log2(max(1, n_chars))))
+    meta = [f"source={source}", f"lang={lang}", f"size={size}", f"lang-size={lang}-{size}", f"source-lang={source}-{lang}", f"source-size={source}-{size}"]
+    return np.unique([crc32(m.encode("utf-8", "surrogatepass")) & ((1 << META_BITS) - 1) for m in meta]).astype(np.int32)
 
 
 @dataclass
@@ -103,14 +114,7 @@ class View:
 
 def fit(rows: list[np.ndarray], good: np.ndarray, width: int, passes: int = 10, rate: float = 0.5, decay: float = 2e-4, batch: int = 128, start: float = 1e-2) -> View:
     """Logistic regression by AdaGrad over batches in a fixed order; documents of both classes weigh alike."""
-    seen = np.zeros(width, np.int32)
-    for r in rows:
-        seen[r] += 1  # a row's features are distinct
-    used = np.nonzero(seen > 1)[0]  # what one document alone has teaches nothing about others
-    place = np.full(width, -1, np.int32)
-    place[used] = np.arange(len(used), dtype=np.int32)
-    rows = [p[p >= 0] for p in (place[r] for r in rows)]
-    view, sums, at_bias = View(np.zeros(len(used))), np.full(len(used), start), 1e-6
+    view, sums, at_bias = View(np.zeros(width)), np.full(width, start), 1e-6
     weight = np.where(good, 0.5 / max(good.mean(), 1e-9), 0.5 / max(1 - good.mean(), 1e-9))
     order = np.random.RandomState(2)
     for _ in range(passes):
@@ -119,18 +123,17 @@ def fit(rows: list[np.ndarray], good: np.ndarray, width: int, passes: int = 10,
             picked = turn[low : low + batch]
             part = [rows[i] for i in picked]
             off = (_sigmoid(view.odds(part)) - good[picked]) * weight[picked] / len(picked)
-            step = np.bincount(np.concatenate(part), np.repeat(off, [len(r) for r in part]), len(used))
-            step += decay * view.weights * (step != 0)
-            sums += step * step
-            view.weights -= rate * step / np.sqrt(sums)
+            step = np.bincount(np.concatenate(part), np.repeat(off, [len(r) for r in part]), width)
+            at = np.nonzero(step)[0]
+            change = step[at] + decay * view.weights[at]
+            sums[at] += change * change
+            view.weights[at] -= rate * change / np.sqrt(sums[at])
             at_bias += off.sum() ** 2
             view.bias -= rate * off.sum() / np.sqrt(at_bias)
-    weights = np.zeros(width)
-    weights[used] = view.weights
-    return View(weights, view.bias)
+    return view
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     """Weights of a small dense logistic regression (a column of ones is the last), by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
@@ -165,66 +168,138 @@ def _combined(m: Model, content: list[np.ndarray], meta: list[np.ndarray]) -> np
     return odds[0] * m.combine[0] + odds[1] * m.combine[1] + m.combine[2]
 
 
-def cotrain(content: list[np.ndarray], meta: list[np.ndarray], good: np.ndarray, pool_content: list[np.ndarray], pool_meta: list[np.ndarray], rounds: int = ROUNDS, confident: float = CONFIDENT) -> Model:
-    """The model from labelled documents (both views, labels) and a pool without labels."""
-    share = float(good.mean()) if len(good) else 1.0
-    held = np.arange(len(good)) % 4 == 3
-    if len(good) < MIN_LABELLED or min(good[held].sum(), (~good[held]).sum(), good[~held].sum(), (~good[~held]).sum()) < 2:
-        return Model(None, None, [], np.zeros(3), share)
-    pick = lambda rows, at: [rows[i] for i in np.nonzero(at)[0]]
-    views = [(content, pool_content, (2 << WORD_BITS) + 4096), (meta, pool_meta, 1 << META_BITS)]
-    taught: list[dict[int, bool]] = [{}, {}]  # what each view has learnt from the other: pool document -> label
-    for turn in range(rounds + 1):
-        models, scales = [], []
-        for (rows, pool, width), extra in zip(views, taught, strict=True):
-            at = sorted(extra)
-            models.append(fit(pick(rows, ~held) + [pool[i] for i in at], np.concatenate([good[~held], np.array([extra[i] for i in at], bool)]), width))
-            scales.append(logistic(np.clip(models[-1].odds(pick(rows, held)), -30, 30)[:, None], good[held]))
-        if turn == rounds or not pool_content:
-            break
-        for v, (_, pool, _) in enumerate(views):
-            p = _sigmoid(np.clip(models[v].odds(pool), -30, 30) * scales[v][0] + scales[v][1])
-            fresh = [i for i in np.nonzero((p >= confident) | (p <= 1 - confident))[0] if i not in taught[1 - v]]
-            sure = sorted(fresh, key=lambda i: (-abs(p[i] - 0.5), i))[: len(pool) // (2 * rounds)]
-            taught[1 - v].update({int(i): bool(p[i] > 0.5) for i in sure})
-    odds = [np.clip(m.odds(pick(rows, held)), -30, 30) * c[0] + c[1] for m, (rows, _, _), c in zip(models, views, scales, strict=True)]
-    return Model(models[0], models[1], scales, logistic(np.column_stack(odds), good[held]), share)
-
-
-def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        both = [features(t, s, g) for t, s, g in zip(rows["text"], rows["source"], rows["lang"], strict=True)]
-        yield pd.DataFrame({"good": rows["good"], "content": [a.tobytes() for a, _ in both], "meta": [b.tobytes() for _, b in both], "place": rows["place"]})
-
-
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
-    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
-    base = docs.select("doc_id", F.col("text"), F.col("source"), F.col("lang"), F.xxhash64(F.lit("co"), F.col("doc_id")).alias("place")).where("doc_id is not null")
-    ids = known.select("doc_id", "good", F.xxhash64(F.lit("co"), F.col("doc_id")).alias("order")).orderBy("order", "doc_id").limit(labelled)
-    free = docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("good"), F.xxhash64(F.lit("co"), F.col("doc_id")).alias("order"))
-    picked = F.broadcast(ids.unionAll(free.orderBy("order", "doc_id").limit(pool)).select("doc_id", "good"))  # at most labelled + pool rows
-    rows = base.join(picked, "doc_id").mapInPandas(_featured, "good int, content binary, meta binary, place long").toPandas().sort_values("place", kind="stable")
-    content = [np.frombuffer(x, np.int32) for x in rows["content"]]
-    meta = [np.frombuffer(x, np.int32) for x in rows["meta"]]
-    good, given = rows["good"].to_numpy(), rows["good"].notna().to_numpy()
-    del rows
-    pick = lambda x, at: [x[i] for i in np.nonzero(at)[0]]
-    return cotrain(pick(content, given), pick(meta, given), good[given].astype(bool), pick(content, ~given), pick(meta, ~given))
+_WIDTHS = ((2 << WORD_BITS) + 4096, 1 << META_BITS)
+
 
+class CoTraining:
+    """Two views over labelled documents, and what each has been taught by the other."""
 
-def classify(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+    def __init__(self, content: list[np.ndarray], meta: list[np.ndarray], good: np.ndarray):
+        self.rows, self.good = (content, meta), good
+        self.held = np.arange(len(good)) % 4 == 3
+        self.taught: tuple[list, list] = ([], [])  # per view: (feature numbers, label)
+        self.share = float(good.mean()) if len(good) else 1.0
+        counts = (good[self.held].sum(), (~good[self.held]).sum(), good[~self.held].sum(), (~good[~self.held]).sum())
+        self.able = min(counts) >= 2
+
+    def fit(self) -> Model:
+        """Both views fitted and calibrated, and their combination."""
+        if not self.able:
+            return Model(None, None, [], np.zeros(3), self.share)
+        held, views, scales, odds = np.nonzero(self.held)[0], [], [], []
+        for rows, extra, width in zip(self.rows, self.taught, _WIDTHS, strict=True):
+            fitted = [rows[i] for i in np.nonzero(~self.held)[0]] + [r for r, _ in extra]
+            views.append(fit(fitted, np.concatenate([self.good[~self.held], np.array([g for _, g in extra], bool)]), width))
+            odds.append(np.clip(views[-1].odds([rows[i] for i in held]), -30, 30))
+            scales.append(logistic(odds[-1][:, None], self.good[held], 1.0))
+        scaled = np.column_stack([o * c[0] + c[1] for o, c in zip(odds, scales, strict=True)])
+        return Model(*views, scales, logistic(scaled, self.good[held], 1.0), self.share)
+
+    def teach(self, view: int, rows: list[np.ndarray], good: np.ndarray) -> None:
+        """Documents, in this view's features, that the other view is sure of."""
+        self.taught[view].extend(zip(rows, good.tolist(), strict=True))
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Features of picked documents, of rows of equal key the first in each task."""
+    seen: set[int] = set()
+    for rows in batches:
+        rows = rows[~rows["key"].duplicated() & ~rows["key"].isin(seen)]
+        seen.update(rows["key"].tolist())
+        made = rows.drop(columns=["text", "source", "lang", "n_chars"])
+        yield made.assign(
+            content=[content_features(t).tobytes() for t in rows["text"]],
+            meta=[meta_features(*m).tobytes() for m in zip(rows["source"], rows["lang"], rows["n_chars"], strict=True)],
+        )
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    """id, text, source, lang, n_chars and key (hash of id and text) of every row; what ``docs`` does not have is null."""
+    held, name = numbered(docs)
+    have = {c.lower() for c in docs.columns}
+    source, lang, size = (F.col(name[m]).cast(t) if m in have else F.lit(None).cast(t) for m, t in zip(METADATA, ("string", "string", "double"), strict=True))
+    return held.select(
+        F.col(name["doc_id"]).alias("id"), F.col(name["text"]).alias("text"), source.alias("source"), lang.alias("lang"), size.alias("n_chars"),
+        F.xxhash64(F.lit("co"), F.col(name["doc_id"]), F.col(name["text"])).alias("key"),
+    )
+
+
+def _drawn(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` rows of least key, without bringing more than about that many together."""
+    total = rows.count()
+    if total > 2 * n:  # keys are even, so this share holds n rows but for a chance below 1e-9
+        share = (n + 6 * n**0.5 + 40) / total
+        rows = rows.where(F.col("key") <= int(-(2**63) + share * 2**64))
+    return rows.orderBy("key").limit(n)
+
+
+def _features_of(base: DataFrame, picked: DataFrame, columns: str) -> pd.DataFrame:
+    """Features of the documents of ``picked`` (at most LABELLED, or the pseudo-labelled ones of a round), in the order of their keys."""
+    rows = base.drop("id").join(F.broadcast(picked), "key").mapInPandas(_read, f"key long, {columns}, content binary, meta binary")
+    return rows.dropDuplicates(["key"]).toPandas().sort_values("key", kind="stable")
+
+
+def _arrays(column: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int32) for x in column]
+
+
+def _confident(model: Model, confident: float):
+    """For each unlabelled document of which a view is sure: per view 1 (good), 0 (bad) or null."""
+
+    def sure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            content = [content_features(t) for t in rows["text"]]
+            meta = [meta_features(*m) for m in zip(rows["source"], rows["lang"], rows["n_chars"], strict=True)]
+            out = rows[["id", "key"]].astype({"id": "Int64"})
+            for n, (view, each, c) in enumerate(zip((model.content, model.meta), (content, meta), model.calibration, strict=True)):
+                p = _sigmoid(np.clip(view.odds(each), -30, 30) * c[0] + c[1])
+                out[f"v{n}"] = pd.array(np.where(p >= confident, 1, 0), "Int64")
+                out.loc[(p < confident) & (p > 1 - confident), f"v{n}"] = pd.NA
+            yield out[out["v0"].notna() | out["v1"].notna()]
+
+    return sure
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, taught: int = TAUGHT, rounds: int = ROUNDS, confident: float = CONFIDENT) -> Model:
+    held, name = numbered(labels)
+    bad = (F.coalesce(F.col(name["quality"]), F.lit(0)) != 1) | (F.coalesce(F.col(name["toxic"]), F.lit(0)) != 0)
+    known = materialise(held.where(F.col(name["doc_id"]).isNotNull()).groupBy(F.col(name["doc_id"]).alias("id")).agg((F.max(bad.cast("int")) == 0).cast("int").alias("good")))
+    base = _base(docs)
+    there = materialise(base.select("id", "key").join(small(known), "id").select("key", "good").dropDuplicates(["key"]))
+    rows = _features_of(base, _drawn(there, labelled), "good int")
+    work = CoTraining(_arrays(rows["content"]), _arrays(rows["meta"]), rows["good"].to_numpy().astype(bool))
+    del rows
+    model = work.fit()
+    for turn in range(rounds if work.able else 0):
+        sure = base.mapInPandas(_confident(model, confident), "id long, key long, v0 int, v1 int")
+        free = materialise(sure.join(small(known.select("id")), "id", "left_anti").select("key", "v0", "v1").dropDuplicates(["key"]))
+        used = F.pmod(F.xxhash64("key"), F.lit(rounds)) == turn  # each round draws from another part, so that none is drawn twice
+        picks = [_drawn(free.where(used & (F.col(f"v{v}") == label)), taught).select("key", F.lit(1 - v).alias("view"), F.lit(label).alias("good")) for v in (0, 1) for label in (0, 1)]
+        picked = reduce(DataFrame.unionAll, picks).groupBy("key").agg(F.collect_list(F.struct("view", "good")).alias("gets"))
+        rows = _features_of(base, picked, "gets array<struct<view:int,good:int>>")
+        content, meta = _arrays(rows["content"]), _arrays(rows["meta"])
+        for view, each in enumerate((content, meta)):
+            at = [(i, g["good"]) for i, gets in enumerate(rows["gets"]) for g in gets if g["view"] == view]
+            work.teach(view, [each[i] for i, _ in at], np.array([g for _, g in at], bool))
+        model = work.fit()
+    return model
+
+
+def classify(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, labelled: int = LABELLED, taught: int = TAUGHT, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with quality_score (probability of being good) and accepted."""
-    model = train(docs, labels, labelled, pool)
-    kept = [c for c in docs.columns if c not in ("quality_score", "accepted")]
-    score = _score_udf(model)(F.col("text"), F.col("source"), F.col("lang"))
-    return docs.select(*[F.col(f"`{c}`") for c in kept], score.alias("quality_score")).withColumn("accepted", F.col("quality_score") >= accept)
+    model = train(docs, labels, labelled, taught, rounds)
+    kept = [c for c in docs.columns if c.lower() not in RESULTS]
+    held, name = numbered(docs)
+    have = {c.lower() for c in docs.columns}
+    source, lang, size = (F.col(name[m]).cast(t) if m in have else F.lit(None).cast(t) for m, t in zip(METADATA, ("string", "string", "double"), strict=True))
+    scored = held.select(*[F.col(name[c]) for c in kept], _score_udf(model)(F.col(name["text"]), source, lang, size).alias("score"))
+    return scored.select("*", F.col("score") >= accept).toDF(*kept, *RESULTS)
 
 
 def _score_udf(model: Model):
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for text, source, lang in batches:
-            both = [features(t, s, g) for t, s, g in zip(text, source, lang, strict=True)]
-            yield pd.Series(model.score([a for a, _ in both], [b for _, b in both]), dtype="float64")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, *meta in batches:
+            yield pd.Series(model.score([content_features(t) for t in text], [meta_features(*m) for m in zip(*meta, strict=True)]), dtype="float64")
 
-    return score.asNondeterministic()  # so that a filter on it does not compute it again
+    score.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(score, "double").asNondeterministic()  # so that a filter on it does not compute it again
