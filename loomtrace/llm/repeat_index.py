@@ -8,11 +8,11 @@ id is removed; strings are judged on the input and never cross documents.
 2. Anchors of one document only are let go. Each other anchor gets a shard, that of its first document, so
    a copied passage stays whole; a document whose passages would fill more than a shard is dealt by anchor too.
 3. Each batch cuts its documents into segments of windows that go to one shard. Equal segments are sent once.
-4. A shard builds a run-length index over its segments, in order of document: suffixes sorted by their first
-   ``length`` bytes and then by place, the Burrows-Wheeler transform in runs, and, where the step from one text
-   position to the next leaves a run, a sampled place. Matching statistics are streamed from the
-   samples: between two of them the match moves on with the text. As a suffix's first equal in sorted order
-   is its earliest, the statistics tell whether a match stands in a smaller document.
+4. A shard builds a run-length index over its segments, in order of document: the Burrows-Wheeler transform of its
+   suffixes (sorted by their first ``length`` bytes, then by place) in runs, with samples at run ends only. Matching statistics
+   (how many bytes match, and where) are streamed from the samples against the direction of the text. A match of
+   ``length`` bytes leads to the nearest earlier equal window; following matches inside a document, it is seen whether one
+   stands in a smaller document, and long matches are marked.
 5. Each document's matches are joined, and its bytes that stay are hashed.
 
 Hashes only decide where windows meet: what is removed is equal byte for byte, and equal windows always meet.
@@ -84,7 +84,13 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 
 class RunLengthIndex:
-    """Run-length index over segments that are in order of document."""
+    """Run-compressed Burrows-Wheeler transform over segments, with sampled run ends.
+
+    Suffixes (of the places that start a whole window) are sorted by their first ``length`` bytes, then by place. A run is a
+    stretch of neighbours that have one byte before them and whose rows, one byte earlier, are neighbours again. So the
+    neighbour of a place moves on with the text, and their common length grows by one per byte, except at run ends: only
+    there the neighbour and the common length (to ``length`` at most) are sampled. Nothing else of the sort is kept.
+    """
 
     def __init__(self, segments: list[bytes], length: int = LENGTH):
         self.length = length
@@ -96,35 +102,46 @@ class RunLengthIndex:
             ends = self.starts + sizes - back
             inside[ends[ends >= self.starts]] = False
         self.places = np.nonzero(inside)[0]
-        rank = self._ranks()
-        order = np.argsort(rank, kind="stable")
-        rank = rank[order]
-        suffixes = self.places[order]
-        opening = np.zeros(len(self.data), bool)
-        opening[self.starts] = True
-        before = np.where(opening[suffixes], 0, self.data[suffixes - 1].astype(np.int16) + 1)
-        runs = _runs(before)
-        self.run_heads, self.run_starts = before[runs], runs
-        groups = _runs(rank)
-        earliest = np.repeat(suffixes[groups], np.diff(np.concatenate([groups, [len(rank)]])))
-        at = np.empty(len(order), np.int64)
-        at[order] = earliest
-        goes_on = (np.diff(at) == 1) & (np.diff(self.places) == 1)
-        self.samples = np.concatenate([[0], np.nonzero(~goes_on)[0] + 1]).astype(np.int64) if len(at) else np.zeros(0, np.int64)
-        self.sampled = at[self.samples]
-
-    def _ranks(self) -> np.ndarray:
-        """Rank of each place's first ``length`` bytes, by doubling from packed bytes."""
+        order = self._sorted()
+        n = len(order)
+        self.run_heads, self.run_starts = np.zeros(0, np.int16), np.zeros(0, np.int64)
+        self.samples, self.neighbours, self.common = (np.zeros(0, np.int64) for _ in range(3))
+        if not n:
+            return
+        row = np.empty(n, np.int64)
+        row[order] = np.arange(n)
+        opens = np.zeros(len(self.data) + 1, bool)
+        opens[self.starts] = True
+        first = opens[self.places[order]]  # windows at the start of a segment have no byte before them
+        transform = np.where(first, -1, self.data[self.places[order] - 1].astype(np.int16))
+        back = np.where(first, -1, row[np.maximum(order - 1, 0)])
+        ends = np.ones(n, bool)
+        ends[1:] = (transform[1:] != transform[:-1]) | first[1:] | (back[1:] != back[:-1] + 1)
+        self.run_starts = np.nonzero(ends)[0]
+        self.run_heads = transform[self.run_starts]
+        # what is one byte before a run end, and the last window of each segment, cannot be told from the window after it
+        last = np.ones(n, bool)
+        last[:-1] = np.diff(self.places) != 1
+        heads = self.run_starts[~first[self.run_starts]]
+        sampled = last
+        sampled[order[heads] - 1] = True
+        self.samples = np.nonzero(sampled)[0]
+        at = row[self.samples]
+        self.neighbours = np.where(at > 0, order[np.maximum(at - 1, 0)], -1)
+        self.common = self._common(self.samples, self.neighbours)
+
+    def _sorted(self) -> np.ndarray:
+        """Windows in the order of their bytes, then of their places, by doubling from packed bytes."""
         rank, have = packed8(self.data), 8
+        if not len(self.places):
+            return np.zeros(0, np.int64)
         while True:
             step = min(have, self.length - have)
-            n = max(0, len(rank) - step)
+            rank = self._number(rank)
             if have + step >= self.length:
-                pair = self._number(rank)
-                return self._number(pair[self.places] * np.uint64(len(pair) + 1) + pair[self.places + step]).astype(np.int64) if len(self.places) else np.zeros(0, np.int64)
-            pair = self._number(rank)
-            rank = pair[:n] * np.uint64(len(pair) + 1) + pair[step:]
-            have += step
+                return np.argsort(rank[self.places] * np.uint64(len(rank) + 1) + rank[self.places + step], kind="stable")
+            n = max(0, len(rank) - step)
+            rank, have = rank[:n] * np.uint64(len(rank) + 1) + rank[step:], have + step
 
     @staticmethod
     def _number(keys: np.ndarray) -> np.ndarray:
@@ -135,11 +152,26 @@ class RunLengthIndex:
             rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])]).astype(np.uint64)
         return rank
 
+    def _common(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Bytes (``length`` at most) that windows have in common; 0 where there is no other."""
+        found = np.zeros(len(one), np.int64)
+        live = np.nonzero(other >= 0)[0]
+        for k in range(self.length):
+            live = live[self.data[self.places[one[live]] + k] == self.data[self.places[other[live]] + k]]
+            if not len(live):
+                break
+            found[live] += 1
+        return found
+
     def statistics(self) -> tuple[np.ndarray, np.ndarray]:
-        """(place, earliest place of the same window) for each window, streamed from the samples."""
-        held = np.diff(np.concatenate([self.samples, [len(self.places)]]))
-        source = np.repeat(self.sampled - self.samples, held) + np.arange(len(self.places))
-        return self.places, source
+        """(matched bytes, window they match) for each window, streamed from the sampled run ends toward the start of the text.
+
+        The window matched is the one before it in sorted order: of equal windows, the one next before it in the text.
+        """
+        n = len(self.places)
+        nearest = np.searchsorted(self.samples, np.arange(n))  # the next sample at or after each window
+        away = self.samples[nearest] - np.arange(n) if n else np.zeros(0, np.int64)
+        return np.minimum(self.common[nearest] + away, self.length), np.where(self.neighbours[nearest] >= 0, self.neighbours[nearest] - away, -1)
 
     def segment(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, places, side="right") - 1
@@ -159,10 +191,20 @@ def repeats(segments: list[bytes], docs: np.ndarray, length: int = LENGTH) -> li
         if (j := distinct[s]) != i and docs[j] == docs[i]:
             copies.setdefault(j, []).append(i)
     index = RunLengthIndex([segments[i] for i in chosen], length)
-    places, source = index.statistics()
-    own, other = index.segment(places), index.segment(source)
-    ids = docs[np.array(chosen, np.int64)] if chosen else docs[:0]
-    hit = ids[other] < ids[own]
+    matched, source = index.statistics()
+    places, own = index.places, index.segment(index.places)
+    ids = docs[np.array(chosen, np.int64)][own] if chosen else docs[:0]
+    met = matched >= length
+    # matches lead from window to window toward smaller documents; those in one document are skipped
+    inner = np.arange(len(places))
+    same = np.nonzero(met)[0]
+    same = same[ids[source[same]] == ids[same]]
+    inner[same] = source[same]
+    while len(same):
+        onward = inner[inner[same]]
+        same, onward = same[onward != inner[same]], onward[onward != inner[same]]
+        inner[same] = onward
+    hit = met[inner]
     places, own = places[hit], own[hit]
     if len(places):
         opens = np.concatenate([[True], (np.diff(places) > length) | (np.diff(own) > 0)])
