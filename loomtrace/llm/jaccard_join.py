@@ -25,10 +25,10 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import components, join_keyed, materialise, numbered, sieved, small
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -106,8 +106,11 @@ _STEPS = list(range(25, BANDS * BAND_ROWS + 1, 25))
 _CUTS = cuts(_STEPS)
 
 
-def linked(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (a, b) of the pairs of left x right that reach the threshold; with ``same``, a < b of left."""
+def linked(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool, band: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (a, b) of the candidates of left x right that reach the threshold; with ``same``, a < b of left.
+
+    Candidates share a band; with ``band``, it is the first one they share.
+    """
     first = np.zeros((len(left), len(right)), np.uint8)
     for c in range(_STEPS[0]):
         first += sig[left, c][:, None] == sig[right, c][None, :]
@@ -122,6 +125,9 @@ def linked(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.
             m += (sig[left[a], begin:end] == sig[right[b], begin:end]).sum(axis=1, dtype=np.int16)
             stay = m >= cut
             a, b, m = a[stay], b[stay], m[stay]
+        shared = (sig[left[a]] == sig[right[b]]).reshape(len(a), BANDS, BAND_ROWS).all(axis=2)
+        stay = shared.any(axis=1) & ((band < 0) | (shared.argmax(axis=1) == band))
+        a, b = a[stay], b[stay]
         found.append((a.astype(np.int32), b.astype(np.int32)))
     a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int32))
     one, other = [sets[x] for x in left], [sets[x] for x in right]
@@ -202,12 +208,12 @@ def _reread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _compare(cell: pd.DataFrame) -> pd.DataFrame:
     out = []
-    for (_, i, j), rows in cell.groupby(["root", "i", "j"], sort=False):
+    for (_, i, j), rows in cell.groupby(["meet", "i", "j"], sort=False):
         rows = rows.drop_duplicates("node").reset_index(drop=True)
         sig = np.stack([np.frombuffer(s, np.uint32) for s in rows["sig"]])
         sets = [np.frombuffer(s, np.uint64) for s in rows["sh"]]
         part = rows["part"].to_numpy()
-        a, b = linked(sig, sets, np.nonzero(part == i)[0], np.nonzero(part == j)[0], i == j)
+        a, b = linked(sig, sets, np.nonzero(part == i)[0], np.nonzero(part == j)[0], i == j, int(rows["band"].iloc[0]))
         k = rows["k"].to_numpy(np.int64)
         links = np.bincount(a, k[b], len(rows)) + np.bincount(b, k[a], len(rows))
         label = _labels(len(rows), a, b)
@@ -215,30 +221,58 @@ def _compare(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
+def _parts(nodes: str, size: str) -> Column:
+    """Blocks of at most about BLOCK_NODES nodes and BLOCK_SHINGLES shingles."""
+    return F.greatest(F.lit(1), F.ceil(F.col(nodes) / BLOCK_NODES), F.ceil(F.col(size) / BLOCK_SHINGLES)).cast("int")
+
+
+def _meetings(members: DataFrame, keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, k, low_id, low_th and meets (meet, band, parts, part) of every node that meets others."""
+    held = materialise(members.join(nodes, "node").select("node", "root", "k", "n", F.col("least.id").alias("low_id"), F.col("least.th").alias("low_th")))
+    groups = held.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("n").alias("size")).withColumn("parts", _parts("nodes", "size"))
+    large = small(materialise(groups.where("parts > 1")))
+    whole = held.join(large.select("root"), "root", "left_anti").select("node", F.struct(F.col("root").alias("meet"), F.lit(-1).alias("band"), F.lit(1).alias("parts"), F.lit(0).alias("part")).alias("m"))
+    if not large.isEmpty():
+        # for each large group: pairs within its buckets against pairs of all its nodes
+        inside = materialise(keyed.join(held.join(large.select("root"), "root", "left_semi").select("node", "root", "n"), "node"))
+        buckets = inside.groupBy("root", "band", "value").agg(F.count("*").alias("nodes"), F.sum("n").alias("size")).where("nodes > 1").withColumn("parts", _parts("nodes", "size"))
+        buckets = materialise(buckets)
+        cost = buckets.groupBy("root").agg(F.sum(F.col("nodes").cast("double") * F.col("nodes")).alias("cost"))
+        by_bucket = small(materialise(large.join(cost, "root").where(F.col("cost") < F.col("nodes").cast("double") * F.col("nodes")).select("root")))
+        part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
+        blocks = held.join(large.join(by_bucket, "root", "left_anti").select("root", "parts"), "root")
+        blocks = blocks.select("node", F.struct(F.col("root").alias("meet"), F.lit(-1).alias("band"), "parts", part).alias("m"))
+        apart = inside.join(by_bucket, "root", "left_semi").join(buckets.select("band", "value", "parts"), ["band", "value"])
+        apart = apart.select("node", F.struct(F.to_binary(F.concat(F.hex("band"), F.lpad(F.hex("value"), 16, "0")), F.lit("hex")).alias("meet"), "band", "parts", part).alias("m"))
+        whole = whole.unionAll(blocks).unionAll(apart)
+    return materialise(whole.groupBy("node").agg(F.collect_list("m").alias("meets")).join(held.select("node", "k", "n", "low_id", "low_th"), "node"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, th (hash of the text), class_id (least id of the class), links, first (row stays as the class's one) for every row."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    held, name = numbered(docs)
+    text = F.coalesce(F.col(name[text_col]), F.lit(""))
+    source = held.select(F.col(name[id_col]).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     sketched = materialise(source.mapInPandas(_sketch, "id long, th long, node binary, n long, sig binary"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("least")
     nodes = sketched.where("node is not null").groupBy("node").agg(F.count("*").alias("k"), F.first("n").alias("n"), least)
     width = 4 * BAND_ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))))
-    keyed = sketched.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig")).select("node", F.explode(bands).alias("band"))
-    buckets = keyed.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("band", "low")
-    met = materialise(components(keyed.join(buckets, "band").select(F.col("node").alias("u"), F.col("low").alias("v"))))
+    keyed = sketched.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig")).select("node", F.posexplode(bands).alias("band", "value"))
+    buckets = keyed.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("value", "low")
+    shared = materialise(keyed.join(buckets, "value"))
+    met = materialise(components(shared.select(F.col("node").alias("u"), F.col("low").alias("v"))))
     members = met.select(F.col("u").alias("node"), "root").unionAll(met.select(F.col("root").alias("node"), "root").distinct())
-    held = materialise(members.join(nodes, "node").select("node", "root", "k", "n", F.col("least.id").alias("low_id"), F.col("least.th").alias("low_th")))
-    sums = held.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("n").alias("size"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
-    groups = max(1, -(-(held.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES))
-    placed = held.join(sums.select("root", parts.alias("parts")), "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    found = source.join(placed, F.col("id").eqNullSafe(F.col("low_id")) & (F.col("th") == F.col("low_th")))
-    read = found.select("node", "root", "k", "parts", "part", "text").mapInPandas(_reread, "node binary, root binary, k long, parts int, part int, sh binary, sig binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    placed = _meetings(members, shared.drop("low"), nodes)
+    groups = max(1, -(-(placed.agg(F.sum(F.col("n") * F.size("meets"))).first()[0] or 0) // BLOCK_SHINGLES))
+    maybe, _ = sieved(source, F.xxhash64("id", "th"), placed, F.xxhash64("low_id", "low_th"))  # most texts meet nobody and stay where they are
+    found = maybe.join(placed.drop("n"), F.col("id").eqNullSafe(F.col("low_id")) & (F.col("th") == F.col("low_th")))
+    read = found.select("node", "k", "meets", "text").mapInPandas(_reread, "node binary, k long, meets array<struct<meet:binary,band:int,parts:int,part:int>>, sh binary, sig binary")
+    each = read.select("node", "k", "sh", "sig", F.explode("meets").alias("m")).select("node", "k", "sh", "sig", "m.*")
     cells = (
-        read.select("*", other.alias("o")).select("node", "root", "k", "part", "sh", "sig", "parts", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
-        .withColumn("cell", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.xxhash64("root", "i", "j")))
+        each.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+        .withColumns({"i": F.least("part", "o"), "j": F.greatest("part", "o")}).drop("o")
+        .withColumn("cell", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("meet"), F.lit(groups))).otherwise(F.xxhash64("meet", "i", "j")))
     )
     compared = materialise(cells.drop("parts").groupBy("cell").applyInPandas(_compare, "node binary, links long, label binary"))
     joined = components(compared.select(F.col("node").alias("u"), F.col("label").alias("v")).where("u != v"))
@@ -247,23 +281,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nodes.join(links, "node", "left").join(joined.withColumnRenamed("u", "node"), "node", "left")
         .select("node", "k", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     )
-    heads = rooted.groupBy("root").agg(F.min("least").alias("head"))
-    named = rooted.join(heads, "root").select("node", (F.col("links") + F.col("k") - 1).alias("links"), "head")
+    heads = materialise(rooted.groupBy("root").agg(F.min("least").alias("head"), F.count("*").alias("members")))
+    total = rooted.count()
+    named = join_keyed(rooted, heads, ["root"], "members", total).select("node", (F.col("links") + F.col("k") - 1).alias("links"), "head", "k")
+    named = materialise(named)
     own = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    return sketched.drop("sig", "n").join(named, "node", "left").select(
-        "id", "th", F.when(F.col("head").isNull(), F.col("id")).otherwise(F.col("head.id")).alias("class_id"),
-        F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(own == F.col("head"), F.lit(True)).alias("first"),
-    )
+    rows = sketched.drop("sig", "n")
+    lone = rows.where("node is null").select("id", "th", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("links"), F.lit(True).alias("first"))
+    met = join_keyed(rows.where("node is not null"), named, ["node"], "k", sketched.count())
+    return met.select("id", "th", F.col("head.id").alias("class_id"), "links", (own == F.col("head")).alias("first")).unionAll(lone)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that of the least id."""
     rows = materialise(near_duplicates(docs, id_col, text_col))
-    stay = rows.where("first").groupBy("id", "th").agg(F.count("*").alias("same"))
-    goes = rows.where("not first").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
-    held = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    kept = held.join(goes, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left_anti")
-    if not stay.where("same > 1").isEmpty():  # equal rows: one of those with shingles stays
-        with_words = F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]")) > 0
-        kept = kept.where(with_words).dropDuplicates([id_col, "__key"]).unionByName(kept.where(~with_words))
-    return kept.select(*docs.columns)
+    goes = materialise(rows.where("not first").select("id", "th").distinct())
+    inner, name = numbered(docs)
+    content, key = F.coalesce(F.col(name[text_col]), F.lit("")), F.col(name[id_col])
+    held = inner.withColumn("th", F.xxhash64(content))
+    maybe, sure = sieved(held, F.xxhash64(key, "th"), goes, F.xxhash64("id", "th"))
+    kept = maybe.join(goes.toDF("other", "other_th"), key.eqNullSafe(F.col("other")) & (F.col("th") == F.col("other_th")), "left_anti").unionAll(sure)
+    if not rows.where("first").groupBy("id", "th").count().where("count > 1").isEmpty():  # equal rows: one of those with shingles stays
+        with_words = F.regexp_count(content, F.lit(r"[^\x20\x09-\x0D]")) > 0
+        kept = kept.where(with_words).dropDuplicates([name[id_col], "th"]).unionByName(kept.where(~with_words))
+    return kept.select(*inner.columns).toDF(*docs.columns)
