@@ -1,12 +1,13 @@
 """URL filter (operator 10): host-suffix and path-prefix expressions against hashed rules.
 
-Every distinct (host, path) is expanded into all its host suffixes times the path prefixes of the
-lengths that rules have; the SHA-256 of each expression meets the rules on its first four bytes, and
+Every distinct (host, path) is expanded into its host suffixes of the numbers of labels that rules have times its path
+prefixes of the lengths that rules have, so a host of very many labels costs no more; the SHA-256 of each expression meets the rules on its first four bytes, and
 the full digest confirms. The longest rule that fits wins; of equally long ones that with the longer
 host, and of equal rules with opposed verdicts the block.
 
 Edge cases: a null url or one without ``://`` has host and path ``""`` and no rule; an empty path
-fits no rule, as rules' paths begin with ``/``; repeated rows and null ids are judged like others.
+fits no rule, as rules' paths begin with ``/``; repeated rows and null ids are judged like others; without rules all get the default;
+an empty table gives no rows; other columns are kept, whatever their names, and those named like the results, in any case of letters, are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import numbered, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_HEX = 8
@@ -47,20 +48,22 @@ def rules_frame(spark, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict; columns of those names are replaced."""
     made = ("host", "path", "rule", "verdict")
-    kept = [c for c in pages.columns if c not in made]
+    kept = [c for c in pages.columns if c.lower() not in made]
+    held, name = numbered(pages)
+    address = F.col(name[url])
     rules = small(
         rules.groupBy("r_host", "r_path").agg(F.max("verdict").alias("r_verdict"))  # 'block' > 'allow'
         .select("r_host", "r_path", "r_verdict", F.sha2(F.concat("r_host", "r_path"), 256).alias("r_digest"))
         .withColumn("short", F.substring("r_digest", 1, PREFIX_HEX))
     )
-    lengths = [r[0] for r in rules.select(F.char_length("r_path")).distinct().collect()]  # at most as many as a url has characters
-    parted = pages.select(*kept, host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fitting = F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.char_length("path"))
-    prefixes = F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))
+    shapes = rules.agg(F.collect_set(F.char_length("r_path")), F.collect_set(F.size(F.split("r_host", r"\.")))).first()
+    lengths, counts = (sorted(x) for x in shapes)  # each at most as many as a url has characters
+    parted = held.select(*[name[c] for c in kept], host_of(address).alias("host"), path_of(address).alias("path"))
+    labels = F.size(F.split("host", r"\.")).alias("labels")
+    suffixes = F.array_compact(F.array(*(F.when(F.col("labels") >= n, F.substring_index("host", ".", -n)) for n in counts)).cast("array<string>"))
+    prefixes = F.transform(F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.char_length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     each = (
-        parted.select("host", "path").distinct()
+        parted.select("host", "path").distinct().select("*", labels)
         .select("host", "path", F.explode(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))).alias("expression"))
         .select("host", "path", F.sha2("expression", 256).alias("digest"))
         .withColumn("short", F.substring("digest", 1, PREFIX_HEX))
@@ -72,4 +75,5 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         .agg(F.max(F.struct(F.char_length(named), F.char_length("r_host"), named.alias("rule"), F.col("r_verdict"))).alias("best"))
         .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.r_verdict").alias("verdict"))
     )
-    return parted.join(best, ["host", "path"], "left").select(*kept, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    judged = parted.join(best, ["host", "path"], "left")
+    return judged.select(*[name[c] for c in kept], "host", "path", "rule", F.coalesce("verdict", F.lit(default))).toDF(*kept, *made)
