@@ -7,11 +7,13 @@ residual that holds it and goes on to larger ones until a bin has neither its so
 the tightest compatible bin. Bins of one residual and equal bitmaps stand together, so a run of
 bins that all conflict costs one look. If none fits, a bin is opened.
 
-Blocks are dealt by hash and bounded, and no text is shipped: only sizes and keys.
+Blocks are dealt by hash and bounded, and no text is shipped: only sizes and keys. A duplicate cluster is, unless ``cluster``
+says otherwise, a group of texts equal but for blanks (near copies are another operator's: pass its class).
 
 Edge cases: null or empty text is a piece of 0 words; a null source is a source of its own; pieces of one
-document conflict with each other as its cluster does; repeated rows are duplicates of each other; an
-empty table gives no rows; extra columns are not read.
+document conflict with each other as its cluster does; repeated rows are duplicates of each other, and many of them are dealt over
+many blocks; of equally large pieces the one of lesser hash is packed first; a very long text is many pieces; an
+empty table gives no rows; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, words
+from .common import materialise, numbered, small, words
 
 CAPACITY = 2048
 BLOCK_PIECES = 4096
@@ -79,15 +81,21 @@ def _pack(capacity: int):
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, cluster: Column | None = None, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """doc_id, piece, first_word, size, bin_id, bin_at for every piece of every row."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    same = F.xxhash64(F.translate(text, BLANKS, "")) if cluster is None else cluster
-    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), same.alias("cluster"), words(F.col(f"`{text_col}`")).alias("n"))
+    held, name = numbered(docs if cluster is None else docs.select("*", cluster.alias("cluster")))
+    text = F.coalesce(F.col(name[text_col]), F.lit(""))
+    same = F.xxhash64(F.translate(text, BLANKS, "")) if cluster is None else F.col(held.columns[-1])
+    base = held.select(F.col(name[id_col]).alias("id"), F.col(name[source_col]).alias("source"), same.alias("cluster"), words(F.col(name[text_col])).alias("n"))
     pieces = F.greatest(F.lit(1), F.ceil(F.col("n") / capacity)).cast("int")
-    cut = base.select("id", "source", "cluster", "n", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    cut = base.withColumn("row", F.monotonically_increasing_id())
+    cut = cut.select("id", "source", "cluster", "n", "row", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
     cut = cut.withColumn("size", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("long")).withColumn("order", F.xxhash64("id", "n", "cluster"))
     cut = materialise(cut)
     blocks = max(1, -(-cut.count() // block_pieces))
-    dealt = cut.withColumn("block", F.pmod(F.xxhash64("order", "piece"), F.lit(blocks)))
+    # rows that are equal in all that counts would meet in one block: where they are many, they are dealt by their rows
+    often = materialise(cut.groupBy("order", "piece").agg(F.count("*").alias("k")).where(F.col("k") > max(1, block_pieces // 16)))
+    marked = cut.join(small(often.drop("k").withColumn("often", F.lit(True))), ["order", "piece"], "left")
+    dealt = marked.withColumn("block", F.pmod(F.xxhash64("order", "piece", F.when(F.col("often"), F.col("row"))), F.lit(blocks)))
+    dealt = dealt.select("id", "source", "cluster", "piece", "size", "order", "block")
     packed = dealt.groupBy("block").applyInPandas(_pack(capacity), "id long, piece int, size long, block long, bin long, at long")
     return packed.select(
         F.col("id").alias(id_col), "piece", (F.col("piece").cast("long") * capacity).alias("first_word"), "size",
