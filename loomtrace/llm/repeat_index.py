@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, numbered
 
 LENGTH = 50
 GRAM = 24
@@ -427,12 +427,13 @@ def _finish(bundles: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (starts and ends of removed runs, flat), kept (bytes) for every row."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    docs, name = numbered(docs)
+    text = F.coalesce(F.col(name[text_col]), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     batches, shards = max(1, -(-total // BATCH_BYTES)), max(1, -(-total // SHARD_BYTES))
     ranges = max(1, -(-total // ((length - GRAM + 2) // 2 * RANGE_ANCHORS)))
-    place = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.xxhash64(text)), F.lit(batches)).alias("b")
-    bundles = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), place, text.alias("text")).mapInPandas(_bundle, "b long, bundle binary")
+    place = F.pmod(F.xxhash64(F.col(name[id_col]), F.xxhash64(text)), F.lit(batches)).alias("b")
+    bundles = docs.select(F.col(name[id_col]).cast("long").alias("id"), place, text.alias("text")).mapInPandas(_bundle, "b long, bundle binary")
     grouped = bundles.groupBy("b")
     sketches = grouped.applyInPandas(_sketch(length, ranges), "r long, b long, anchors binary, owners binary, base long")
     routes = sketches.groupBy("r").applyInPandas(_route(ranges, shards, length), "b long, anchors binary, targets binary")

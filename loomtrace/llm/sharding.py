@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, numbered
 
 LIMIT_BYTES = 1 << 20
 STEP = 16
@@ -31,11 +31,12 @@ def _bits(value, n: int):
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
     """doc_id, n_bytes, shard (its hash prefix), depth, shard_bytes, oversized for every row."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    held, name = numbered(docs)
+    text = F.coalesce(F.col(name[text_col]), F.lit(""))
     content = F.concat_ws("|", F.octet_length(text), F.xxhash64(text))
-    at = docs.select(
-        F.col(f"`{id_col}`").alias("id"), F.octet_length(text).cast("long").alias("n"),
-        F.concat(_bits(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), KEY_BITS), _bits(content, CONTENT_BITS)).alias("bits"),
+    at = held.select(
+        F.col(name[id_col]).alias("id"), F.octet_length(text).cast("long").alias("n"),
+        F.concat(_bits(F.coalesce(F.col(name[id_col]).cast("string"), F.lit("")), KEY_BITS), _bits(content, CONTENT_BITS)).alias("bits"),
     )
     done, low, left = None, 0, materialise(at)
     while True:
