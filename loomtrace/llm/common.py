@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -14,6 +15,8 @@ BROADCAST_ROWS = 100_000
 HOT_SHARE = 1000
 #: Bits of a sieve: at most SIEVE_BITS / 32768 bitmaps of 4 KB, 8 MB in all, are broadcast.
 SIEVE_BITS = 1 << 26
+#: Rows, and bytes, of texts that go to a Python worker at a time; a batch of the default 10,000 rows of long texts needs hundreds of MB there.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches in which the session sends rows to Python, unless it has smaller ones."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        number, unit = re.fullmatch(r"(-?\d+)([KMGT]?)I?B?", spark.conf.get(name).upper()).groups()
+        if not 0 < int(number) * 1024 ** " KMGT".index(unit or " ") <= most:
+            spark.conf.set(name, str(most))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor costs a reread."""
     spark = df.sparkSession

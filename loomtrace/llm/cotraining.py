@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered, small
+from .common import materialise, numbered, small, small_batches
 
 LABELLED, TAUGHT = 16_000, 500
 ROUNDS = 3
@@ -45,6 +45,8 @@ WORD_BITS, META_BITS = 18, 12
 ACCEPT = 0.5
 #: Bytes of a word that count as its beginning.
 START_BYTES = 4
+#: Bytes of a text that are taken apart at a time.
+STRETCH_BYTES = 1 << 16
 _LETTERS, _CAPITALS, _DIGITS = b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 _OTHER = bytes(sorted(set(range(33, 127)) - set(_LETTERS + _CAPITALS + _DIGITS)))
 #: Capitals to small letters; blanks and ASCII marks to spaces.
@@ -60,21 +62,31 @@ def _steps(name: str, value: float, width: float) -> bytes:
     return f"{name}={int(value / width)}".encode()
 
 
+def _words(folded: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, hash of the beginning, and bytes of each word of a folded text, a stretch of whole words at a time."""
+    found, low = [], 0
+    while low < len(folded):
+        high = len(folded)
+        if high - low > STRETCH_BYTES:
+            high = folded.rfind(b" ", low, low + STRETCH_BYTES) + 1 or folded.find(b" ", low + STRETCH_BYTES) + 1 or high
+        data = np.frombuffer(folded, np.uint8, high - low, low)
+        inside = np.nonzero(data != 32)[0]
+        opens = np.nonzero(np.diff(inside, prepend=-2) > 1)[0]
+        lengths = np.diff(opens, append=len(inside))
+        offset = inside - np.repeat(inside[opens], lengths)
+        parts = _BYTES[data[inside]] * _TURNS[offset & 63]
+        if len(opens):
+            found.append((np.add.reduceat(parts, opens), np.add.reduceat(np.where(offset < START_BYTES, parts, 0), opens), lengths))
+        low = high
+    none = np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none)
+
+
 def content_features(text: str | None) -> np.ndarray:
     """Feature numbers of the content view."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     size, lines = max(1, len(raw)), raw.count(b"\n") + 1
-    data = np.frombuffer(raw.translate(_FOLD), np.uint8)
-    inside = np.nonzero(data != 32)[0]
-    opens = np.nonzero(np.diff(inside, prepend=-2) > 1)[0]
-    lengths = np.diff(opens, append=len(inside))
-    offset = inside - np.repeat(inside[opens], lengths)
-    parts = _BYTES[data[inside]] * _TURNS[offset & 63]
-    if len(opens):
-        words = np.add.reduceat(parts, opens)
-        starts = np.add.reduceat(np.where(offset < START_BYTES, parts, 0), opens)
-    else:
-        words = starts = np.zeros(0, np.uint64)
+    words, starts, lengths = _words(raw.translate(_FOLD))
     n, keep = max(1, len(words)), np.uint64(64 - WORD_BITS)
     seen, begun = np.unique((words * _SPREAD) >> keep), np.unique((starts * _SPREAD) >> keep)
     marks, capitals, digits = (len(raw) - len(raw.translate(None, chars)) for chars in _CLASSES)
@@ -248,11 +260,14 @@ def _confident(model: Model, confident: float):
 
     def sure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            content = [content_features(t) for t in rows["text"]]
-            meta = [meta_features(*m) for m in zip(rows["source"], rows["lang"], rows["n_chars"], strict=True)]
             out = rows[["id", "key"]].astype({"id": "Int64"})
-            for n, (view, each, c) in enumerate(zip((model.content, model.meta), (content, meta), model.calibration, strict=True)):
-                p = _sigmoid(np.clip(view.odds(each), -30, 30) * c[0] + c[1])
+            odds = np.zeros((2, len(rows)))
+            for low in range(0, len(rows), ODDS_BLOCK):  # to bound what is held at a time
+                part = rows.iloc[low : low + ODDS_BLOCK]
+                odds[0, low : low + len(part)] = model.content.odds([content_features(t) for t in part["text"]])
+                odds[1, low : low + len(part)] = model.meta.odds([meta_features(*m) for m in zip(part["source"], part["lang"], part["n_chars"], strict=True)])
+            for n, c in enumerate(model.calibration):
+                p = _sigmoid(np.clip(odds[n], -30, 30) * c[0] + c[1])
                 out[f"v{n}"] = pd.array(np.where(p >= confident, 1, 0), "Int64")
                 out.loc[(p < confident) & (p > 1 - confident), f"v{n}"] = pd.NA
             yield out[out["v0"].notna() | out["v1"].notna()]
@@ -261,6 +276,7 @@ def _confident(model: Model, confident: float):
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, taught: int = TAUGHT, rounds: int = ROUNDS, confident: float = CONFIDENT) -> Model:
+    small_batches(docs.sparkSession)
     held, name = numbered(labels)
     bad = (F.coalesce(F.col(name["quality"]), F.lit(0)) != 1) | (F.coalesce(F.col(name["toxic"]), F.lit(0)) != 0)
     known = materialise(held.where(F.col(name["doc_id"]).isNotNull()).groupBy(F.col(name["doc_id"]).alias("id")).agg((F.max(bad.cast("int")) == 0).cast("int").alias("good")))
@@ -299,7 +315,11 @@ def classify(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, labelle
 def _score_udf(model: Model):
     def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for text, *meta in batches:
-            yield pd.Series(model.score([content_features(t) for t in text], [meta_features(*m) for m in zip(*meta, strict=True)]), dtype="float64")
+            found = np.zeros(len(text))
+            for low in range(0, len(text), ODDS_BLOCK):  # to bound what is held at a time
+                part = slice(low, low + ODDS_BLOCK)
+                found[part] = model.score([content_features(t) for t in text[part]], [meta_features(*m) for m in zip(*(x[part] for x in meta), strict=True)])
+            yield pd.Series(found, dtype="float64")
 
     score.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     return F.pandas_udf(score, "double").asNondeterministic()  # so that a filter on it does not compute it again

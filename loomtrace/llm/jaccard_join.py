@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_keyed, materialise, numbered, sieved, small
+from .common import components, join_keyed, materialise, numbered, sieved, small, small_batches
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -250,6 +250,7 @@ def _meetings(members: DataFrame, keyed: DataFrame, nodes: DataFrame) -> DataFra
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, th (hash of the text), class_id (least id of the class), links, first (row stays as the class's one) for every row."""
+    small_batches(docs.sparkSession)
     held, name = numbered(docs)
     text = F.coalesce(F.col(name[text_col]), F.lit(""))
     source = held.select(F.col(name[id_col]).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))

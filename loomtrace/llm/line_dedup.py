@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_keyed, materialise, numbered, sieved
+from .common import join_keyed, materialise, numbered, sieved, small_batches
 
 RUN = 3
 #: Fewer lines than ``RUN`` are a repeat if they hold more words than this.
@@ -114,6 +114,7 @@ def _extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int | None = LONG_WORDS) -> DataFrame:
     """For every document that loses lines: id, th (hash of its text), gone (places of deleted lines among its non-blank ones)."""
+    small_batches(docs.sparkSession)
     held, name = numbered(docs)
     text = F.coalesce(F.col(name[text_col]), F.lit(""))
     base = held.select(F.col(name[id_col]).isNull().alias("last"), F.col(name[id_col]).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered
+from .common import materialise, numbered, small_batches
 
 LENGTH = 50
 GRAM = 24
@@ -427,6 +427,7 @@ def _finish(bundles: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (starts and ends of removed runs, flat), kept (bytes) for every row."""
+    small_batches(docs.sparkSession)
     docs, name = numbered(docs)
     text = F.coalesce(F.col(name[text_col]), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
