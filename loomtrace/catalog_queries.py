@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import analysis, eventlog, exchange, explorer, ivf, projection, queueing, results, search, tables
+from .operators import analysis, documents, eventlog, exchange, explorer, ivf, projection, queueing, results, search, tables
 from .plans import routing
 from .relations import CTES, over_tables
 from .streaming import turns
@@ -69,9 +69,9 @@ def file_pruned_scan(spark, d):
     return over_tables(spark, d).steps.where("_file_ IN ('part-1', 'part-3') AND _file_ LIKE 'part-%'").groupBy("_file_").agg(F.count("*").alias("n"))
 
 
-@query("SELECT append_pos, event_id, substr(payload, 1, 5) AS preview FROM log WHERE session_id = 's3'")
+@query("SELECT append_pos, event_id, substr(payload_json, 1, 30) AS preview FROM log WHERE session_id = 's3'")
 def content_preview(spark, d):
-    return over_tables(spark, d).events.where("session_id = 's3'").select("append_pos", "event_id", F.substring("payload", 1, 5).alias("preview"))
+    return over_tables(spark, d).events.where("session_id = 's3'").select("append_pos", "event_id", F.substring("payload_json", 1, 30).alias("preview"))
 
 
 # -- joins ------------------------------------------------------------------------------------------
@@ -117,11 +117,13 @@ def scalar_subquery_counts(spark, d):
     return r.runs.join(steps, analysis.DOCUMENT, "left").join(r.runs.agg(F.count("*").alias("runs"))).select("document_id", F.coalesce("steps", F.lit(0)).alias("steps"), "runs")
 
 
-@query("WITH s AS (SELECT session_id, append_pos, call_id, kind FROM log) SELECT t.append_pos AS turn, e.append_pos AS event FROM s t JOIN s e ON t.session_id = e.session_id AND t.call_id = e.call_id WHERE t.kind = 'llm.request' AND e.kind <> 'llm.request'")
+@query("""WITH t AS (SELECT session_id, append_pos AS turn, call_id, CASE WHEN append_pos % 3 = 0 THEN seq END AS own FROM log WHERE kind = 'llm.request')
+    SELECT t.session_id, turn, own AS seq FROM t WHERE own IS NOT NULL UNION ALL SELECT t.session_id, turn, e.seq FROM t JOIN log e ON t.session_id = e.session_id AND t.call_id = e.call_id WHERE own IS NULL""")
 def turn_event_link(spark, d):
     e = over_tables(spark, d).events
-    turns = e.where("kind = 'llm.request'").select("session_id", "call_id", F.col("append_pos").alias("turn"))
-    return turns.join(e.where("kind <> 'llm.request'").select("session_id", "call_id", F.col("append_pos").alias("event")), ["session_id", "call_id"]).select("turn", "event")
+    extra = F.to_json(F.struct("call_id", F.when(F.col("append_pos") % 3 == 0, F.col("seq")).alias("event_seq")))
+    turns = e.where("kind = 'llm.request'").select("_file_", "session_id", F.col("append_pos").alias("step_id"), extra.alias("extra_json"))
+    return documents.linked_events(turns, e).select("session_id", F.col("step_id").alias("turn"), "seq")
 
 
 # -- analyses -----------------------------------------------------------------------------------------
@@ -136,9 +138,9 @@ def analysis_overview(spark, d):
 
 @query("""WITH s AS (SELECT _file_, document_id, count(*) AS n, count(*) FILTER (source = 'user') AS u, count(*) FILTER (source = 'agent') AS a FROM steps GROUP BY ALL),
     t AS (SELECT _file_, document_id, count(*) AS n FROM calls GROUP BY ALL)
-    SELECT agent_id, coalesce(agent_version, '') AS agent_version, count(*)::BIGINT AS trajectories, count(DISTINCT r._file_)::BIGINT AS sources, coalesce(sum(s.n), 0)::BIGINT AS steps,
+    SELECT agent_id, coalesce(agent_name, '') AS agent_name, coalesce(agent_version, '') AS agent_version, count(*)::BIGINT AS trajectories, count(DISTINCT r._file_)::BIGINT AS sources, coalesce(sum(s.n), 0)::BIGINT AS steps,
            coalesce(sum(u), 0)::BIGINT AS user_steps, coalesce(sum(a), 0)::BIGINT AS agent_steps, coalesce(sum(t.n), 0)::BIGINT AS tool_calls
-    FROM runs r LEFT JOIN s USING (_file_, document_id) LEFT JOIN t USING (_file_, document_id) GROUP BY agent_id, agent_version""")
+    FROM runs r LEFT JOIN s USING (_file_, document_id) LEFT JOIN t USING (_file_, document_id) GROUP BY agent_id, agent_name, agent_version""")
 def analysis_agents(spark, d):
     return analysis.agents(over_tables(spark, d))
 
@@ -156,10 +158,13 @@ def analysis_tools(spark, d):
 
 
 _EVENT_STATS = """WITH v AS (SELECT _file_, session_id, count(*)::BIGINT AS row_count, (count(event_id) - count(DISTINCT event_id))::BIGINT AS duplicates,
-    max(CASE WHEN kind IN ('run.failed', 'run.cancelled') THEN 3 WHEN kind = 'run.completed' THEN 2 WHEN kind = 'session.ended' THEN 1 ELSE 0 END)::INT AS terminal_rank,
-    max(payload) FILTER (kind = 'session.ended') AS ended_payload, count(*) FILTER (kind IN ('llm.request', 'http.request'))::BIGINT AS requests,
-    count(*) FILTER (kind IN ('llm.response', 'http.response'))::BIGINT AS responses FROM log GROUP BY ALL)"""
-_STATUS = "CASE terminal_rank WHEN 3 THEN 'failed' WHEN 2 THEN 'completed' WHEN 1 THEN 'completed' ELSE CASE WHEN requests > 0 AND responses >= requests THEN 'completed' ELSE 'active' END END"
+    max(CASE WHEN kind = 'run.failed' OR kind = 'run.cancelled' THEN 3 WHEN kind = 'run.completed' THEN 2 WHEN kind = 'session.ended' THEN 1 ELSE 0 END)::INT AS terminal_rank,
+    max(CASE WHEN kind = 'session.ended' THEN payload_json END) AS ended_payload, count(*) FILTER (kind = 'llm.request')::BIGINT AS requests,
+    count(*) FILTER (kind = 'llm.response' OR kind = 'llm.response.stream')::BIGINT AS responses FROM log GROUP BY ALL)"""
+#: Only a whole number under payload.exit_code fails a run; without calls there is no status.
+_STATUS = """CASE terminal_rank WHEN 3 THEN 'failed' WHEN 2 THEN 'completed'
+    WHEN 1 THEN CASE WHEN json_type(ended_payload, '$.payload.exit_code') IN ('UBIGINT', 'BIGINT') AND (ended_payload ->> '$.payload.exit_code')::BIGINT <> 0 THEN 'failed' ELSE 'completed' END
+    ELSE CASE WHEN requests = 0 AND responses = 0 THEN NULL WHEN responses >= requests THEN 'completed' ELSE 'active' END END"""
 
 
 @query(_EVENT_STATS + " SELECT * FROM v")
@@ -172,9 +177,9 @@ def terminal_status(spark, d):
     return analysis.terminal_status(analysis.event_stats(over_tables(spark, d).events))
 
 
-@query(_EVENT_STATS + f""", w AS (SELECT _file_, 'c' || substr(session_id, 2) AS document_id, row_count, duplicates, {_STATUS} AS status FROM v), n AS (SELECT _file_, document_id, count(*) AS steps FROM steps GROUP BY ALL)
+@query(_EVENT_STATS + f""", w AS (SELECT _file_, session_id, row_count, duplicates, coalesce({_STATUS}, 'active') AS status FROM v), n AS (SELECT _file_, document_id, count(*) AS steps FROM steps GROUP BY ALL)
     SELECT _file_ || '/' || document_id AS path, agent_id, coalesce(row_count, steps, 0)::BIGINT AS row_count, coalesce(duplicates, 0)::BIGINT AS duplicates, coalesce(status, 'active') AS status
-    FROM runs LEFT JOIN n USING (_file_, document_id) LEFT JOIN w USING (_file_, document_id)""")
+    FROM runs LEFT JOIN n USING (_file_, document_id) LEFT JOIN w USING (_file_, session_id)""")
 def run_summaries(spark, d):
     return analysis.run_summaries(over_tables(spark, d))
 
@@ -184,9 +189,11 @@ def status_counts(spark, d):
     return analysis.status_counts(over_tables(spark, d))
 
 
-@query("""WITH s AS (SELECT _file_, document_id, count(*)::BIGINT AS step_count, list(step_id ORDER BY step_id) AS step_ids, list(source ORDER BY step_id) AS step_sources FROM steps GROUP BY ALL),
-    t AS (SELECT _file_, document_id, count(*)::BIGINT AS tool_call_count, list(function_name ORDER BY step_id, call_index) AS tool_names FROM calls GROUP BY ALL)
-    SELECT r.*, coalesce(step_count, 0) AS step_count, step_ids, step_sources, coalesce(tool_call_count, 0) AS tool_call_count, tool_names
+@query("""WITH s AS (SELECT _file_, document_id, count(*)::BIGINT AS step_count, list(step_id ORDER BY step_id) AS step_ids, list(source ORDER BY step_id) AS step_sources, list(message_json ORDER BY step_id) AS messages_json
+        FROM steps GROUP BY ALL),
+    t AS (SELECT _file_, document_id, count(*)::BIGINT AS tool_call_count, list(function_name ORDER BY step_id, call_index) AS tool_names, list(arguments_json ORDER BY step_id, call_index) AS tool_arguments_json,
+        list(results_json ORDER BY step_id, call_index) AS tool_results_json FROM calls GROUP BY ALL)
+    SELECT r.*, coalesce(step_count, 0) AS step_count, step_ids, step_sources, messages_json, coalesce(tool_call_count, 0) AS tool_call_count, tool_names, tool_arguments_json, tool_results_json
     FROM runs r LEFT JOIN s USING (_file_, document_id) LEFT JOIN t USING (_file_, document_id)""")
 def trajectories_view(spark, d):
     return analysis.trajectories(over_tables(spark, d))
@@ -307,8 +314,10 @@ def window_frame(spark, d):
 # -- projection, search, tables, queue -----------------------------------------------------------------
 
 
-_FOLD = """WITH p AS (SELECT session_id, call_id, min(append_pos) AS first_pos, min(append_pos) FILTER (kind = 'llm.request') AS request_pos, max(append_pos) FILTER (kind = 'llm.response') AS response_pos,
-    arg_max(payload, append_pos) FILTER (kind = 'llm.response') AS answer, min(ts) FILTER (kind = 'llm.request') AS t0, max(ts) FILTER (kind = 'llm.response') AS t1 FROM log GROUP BY ALL)"""
+_ASKS = "kind IN ('llm.request', 'http.request')"
+_ANSWERS = "kind IN ('llm.response', 'llm.response.stream', 'http.response', 'http.response.stream')"
+_FOLD = f"""WITH p AS (SELECT session_id, call_id, min(append_pos) AS first_pos, min(append_pos) FILTER ({_ASKS}) AS request_pos, max(append_pos) FILTER ({_ANSWERS}) AS response_pos,
+    arg_max(payload_json, append_pos) FILTER ({_ANSWERS}) AS answer, min(timestamp) FILTER ({_ASKS}) AS t0, max(timestamp) FILTER ({_ANSWERS}) AS t1 FROM log GROUP BY ALL)"""
 
 
 @query(_FOLD + """ SELECT session_id, call_id, row_number() OVER (PARTITION BY session_id ORDER BY first_pos)::BIGINT AS turn, answer, date_diff('millisecond', t0, t1)::BIGINT AS latency_ms
@@ -326,10 +335,74 @@ def incremental_projection(spark, d):
     return projection.sync(before, events, cut)
 
 
-@query("""SELECT session_id, call_id, max(payload) FILTER (kind = 'llm.request') AS request, arg_max(payload, append_pos) FILTER (kind = 'llm.response') AS response FROM log
-    GROUP BY ALL HAVING count(*) FILTER (kind = 'llm.request') > 0""")
+_PAIRS = """WITH k AS (SELECT *, coalesce(call_id, 'seq-' || seq) AS call, kind LIKE '%request%' AS asks, kind NOT LIKE '%request%' AND kind LIKE '%response%' AS answers,
+        json_extract(payload_json, '$.payload')::VARCHAR AS payload FROM log),
+    c AS (SELECT session_id, call, arg_max(timestamp, append_pos) FILTER (asks) AS started, arg_max(trace_id, append_pos) FILTER (asks) AS trace_id, arg_max(payload, append_pos) FILTER (asks) AS request,
+        arg_max(payload, append_pos) FILTER (answers) AS response FROM k GROUP BY ALL HAVING count(*) FILTER (asks) > 0)"""
+
+
+@query(_PAIRS + " SELECT session_id, call AS call_id, request, response FROM c")
 def har_pairs(spark, d):
-    return projection.call_pairs(over_tables(spark, d).events)
+    return projection.call_pairs(over_tables(spark, d).events).select("session_id", "call_id", F.col("request.payload").alias("request"), F.col("response.payload").alias("response"))
+
+
+@query(_PAIRS + """ SELECT session_id, call AS call_id, epoch_us(started) AS started_us, coalesce((response ->> '$.duration_ms')::DOUBLE, 0) AS time, request ->> '$.method' AS method, request ->> '$.path' AS url, '' AS version,
+        'n=<redacted>,x-k=a' AS request_headers, json_extract(request, '$.body')::VARCHAR AS request_body, coalesce((response ->> '$.status')::BIGINT, 0) AS status,
+        CASE WHEN response IS NULL THEN '' ELSE 'n=<redacted>,x-k=a' END AS response_headers, coalesce(json_extract(response, '$.body')::VARCHAR, '') AS response_body, trace_id, false AS degraded FROM c""")
+def har_entries(spark, d):
+    rows = exchange.har_entries(over_tables(spark, d).events)
+    shown = lambda c: F.array_join(F.transform(c, lambda h: F.concat(h["name"], F.lit("="), h["value"])), ",").alias(c)
+    return rows.select(
+        "session_id", "call_id", F.unix_micros("started").alias("started_us"), "time", "method", "url", "version", shown("request_headers"), "request_body", "status", shown("response_headers"), "response_body", "trace_id", "degraded"
+    )
+
+
+#: Calls as the whole fold sees them: the last request, the last response's text, the first latency that is told.
+_DOCUMENTS = f"""WITH e AS (SELECT *, payload_json -> '$.payload' AS p, {_ASKS} AS asks, {_ANSWERS} AS answers FROM log),
+    c AS (SELECT _file_, session_id, call_id, min(append_pos) AS first_pos, count(*) FILTER (asks) AS n_asks, max(append_pos) FILTER (asks) AS asked_at, max(append_pos) FILTER (answers) AS answered_at,
+        min(append_pos) FILTER (answers AND (p ->> '$.latency_ms') IS NOT NULL) AS told_at, max(append_pos) FILTER (answers AND (p -> '$.usage') IS NOT NULL) AS usage_at, arg_min(timestamp, append_pos) AS first_t,
+        arg_min(seq, append_pos) FILTER (asks) AS q_seq, arg_min(seq, append_pos) FILTER (answers) AS a_seq FROM e WHERE call_id IS NOT NULL GROUP BY ALL),
+    j AS (SELECT c.*, q.p ->> '$.user_content' AS said, q.p ->> '$.model' AS model, q.timestamp AS q_t, a.p ->> '$.content' AS answer, a.timestamp AS a_t, (l.p ->> '$.latency_ms')::BIGINT AS told, u.p -> '$.usage' AS usage,
+            (u.p ->> '$.usage.ttft_ms')::BIGINT AS ttft
+        FROM c LEFT JOIN e q ON q.append_pos = asked_at LEFT JOIN e a ON a.append_pos = answered_at LEFT JOIN e l ON l.append_pos = told_at LEFT JOIN e u ON u.append_pos = usage_at),
+    t AS (SELECT _file_, session_id, call_id, false AS own, first_pos, 0 AS place, 'llm.request' AS kind, 'user' AS source, said AS message, coalesce(q_t, first_t) AS happened, q_seq AS seq, NULL AS model, NULL::BIGINT AS latency, NULL::BIGINT AS ttft
+        FROM j WHERE said IS NOT NULL AND answer IS NOT NULL
+        UNION ALL SELECT _file_, session_id, call_id, false, first_pos, 1, CASE WHEN answer IS NULL AND said IS NOT NULL THEN 'llm.request' ELSE 'llm.response' END, CASE WHEN answer IS NULL AND said IS NOT NULL THEN 'user' ELSE 'agent' END,
+            coalesce(answer, said, ''), coalesce(a_t, q_t, first_t), CASE WHEN answer IS NOT NULL THEN a_seq WHEN said IS NOT NULL THEN q_seq ELSE coalesce(a_seq, q_seq) END, model,
+            CASE WHEN answer IS NOT NULL OR said IS NULL THEN coalesce(told, epoch_us(a_t) // 1000 - epoch_us(q_t) // 1000) END, CASE WHEN answer IS NOT NULL OR said IS NULL THEN ttft END FROM j
+        UNION ALL SELECT _file_, session_id, NULL, true, append_pos, 0, 'internal', 'system', '{{"kind":"' || kind || '","payload":' || p::VARCHAR || '}}', timestamp, seq, NULL, NULL, NULL FROM e
+            WHERE call_id IS NULL AND (kind LIKE 'session.%' OR kind = 'note')),
+    s AS (SELECT *, row_number() OVER (PARTITION BY _file_, session_id ORDER BY own, first_pos, place)::BIGINT AS step_id FROM t)"""
+
+
+@query(_DOCUMENTS + " SELECT _file_, session_id, step_id, kind, source, CASE WHEN own THEN message ELSE to_json(message)::VARCHAR END AS message_json, epoch_us(happened) AS at_us, model AS model_name, latency AS latency_ms, ttft AS ttft_ms FROM s")
+def document_steps(spark, d):
+    steps = documents.fold_events(over_tables(spark, d).events).steps
+    return steps.select("_file_", "session_id", "step_id", "kind", "source", "message_json", F.unix_micros("timestamp").alias("at_us"), "model_name", "latency_ms", "ttft_ms")
+
+
+@query(_DOCUMENTS + """, r AS (SELECT session_id, p ->> '$.llm_request.request.messages[0].parts[0].call_id' AS id, arg_max(p -> '$.llm_request.request.messages[0].parts[0].content', append_pos) AS result FROM e
+        WHERE (p -> '$.llm_request') IS NOT NULL GROUP BY ALL),
+    f AS (SELECT session_id, call_id, p ->> '$.llm_response.response.candidates[0].message.parts[0].id' AS id, min(append_pos) AS first_pos, arg_max(p -> '$.llm_response.response.candidates[0].message.parts[0]', append_pos) AS part FROM e
+        WHERE call_id IS NOT NULL AND (p -> '$.llm_response') IS NOT NULL GROUP BY ALL)
+    SELECT f.session_id, s.step_id, row_number() OVER (PARTITION BY f.session_id, f.call_id ORDER BY f.first_pos)::BIGINT - 1 AS call_index, f.id AS tool_call_id, part ->> '$.name' AS function_name,
+        (part -> '$.arguments')::VARCHAR AS arguments_json, r.result::VARCHAR AS result_json
+    FROM f JOIN s ON s.session_id = f.session_id AND s.call_id = f.call_id AND s.place = 1 LEFT JOIN r ON r.session_id = f.session_id AND r.id = f.id""")
+def document_calls(spark, d):
+    calls = documents.fold_events(over_tables(spark, d).events).tool_calls
+    return calls.select("session_id", "step_id", "call_index", "tool_call_id", "function_name", "arguments_json", "result_json")
+
+
+@query(_DOCUMENTS + """, l AS (SELECT session_id, arg_max(model, step_id) FILTER (model IS NOT NULL) AS agent_model_name FROM s GROUP BY ALL)
+    SELECT _file_, e.session_id AS document_id, arg_max(agent_id, append_pos) AS agent_id, any_value(agent_model_name) AS agent_model_name FROM e LEFT JOIN l USING (session_id) GROUP BY _file_, e.session_id""")
+def document_runs(spark, d):
+    return documents.fold_events(over_tables(spark, d).events).runs.select("_file_", "document_id", "agent_id", "agent_model_name")
+
+
+@query(_DOCUMENTS + """ SELECT session_id, step_id, seq FROM s WHERE seq IS NOT NULL""")
+def document_links(spark, d):
+    events = over_tables(spark, d).events
+    return documents.linked_events(documents.fold_events(events).steps, events).select("session_id", "step_id", "seq")
 
 
 def _knn(metric: str, distance: str):
@@ -457,10 +530,51 @@ def text_similarity(spark, d):
     return _t(spark, d, "benchmark").select("item_id", scalars.similarity(F.col("text"), F.concat(F.col("text"), F.lit(" more"))).alias("ratio"))
 
 
-@query("""WITH u AS (SELECT event_id, 'gpt-4o-' || event_type AS model, value AS v FROM events) SELECT event_id, round(v * 1000 / 1e6 * 2.5 + v * 100 / 1e6 * 10.0, 9) AS cost FROM u""", relations=False)
+_MODELS = "['GPT-4o-x', 'gpt-4o-mini', 'claude-3-5-sonnet-1', 'deepseek-chat', 'gemini-2.0-flash', 'gpt-4', 'own']"
+_PROVIDERS = "['openai', 'Anthropic', 'gemini', 'vertex', 'other']"
+
+
+@query(f"""WITH u AS (SELECT event_id, {_MODELS}[event_id % 7 + 1] AS model, {_PROVIDERS}[event_id % 5 + 1] AS provider, value * 1000 AS p, value * 100 AS c FROM events),
+    t AS (SELECT *, CASE WHEN model IN ('GPT-4o-x', 'gpt-4o-mini') THEN 2.5 WHEN model LIKE 'claude-3-5-sonnet%' THEN 3.0 WHEN model = 'deepseek-chat' THEN 0.27 WHEN model = 'gemini-2.0-flash' THEN 0.1
+                             WHEN provider = 'Anthropic' THEN 3.0 WHEN provider IN ('gemini', 'vertex') THEN 0.15 ELSE 1.0 END::DOUBLE AS a,
+                    CASE WHEN model IN ('GPT-4o-x', 'gpt-4o-mini') THEN 10.0 WHEN model LIKE 'claude-3-5-sonnet%' THEN 15.0 WHEN model = 'deepseek-chat' THEN 1.1 WHEN model = 'gemini-2.0-flash' THEN 0.4
+                             WHEN provider = 'Anthropic' THEN 15.0 WHEN provider IN ('gemini', 'vertex') THEN 0.6 ELSE 2.0 END::DOUBLE AS b FROM u)
+    SELECT event_id, model, provider, round(p / 1e6 * a + c / 1e6 * b, 9) AS cost FROM t""", relations=False)
 def usage_cost(spark, d):
+    pick = lambda names, n: F.element_at(F.expr(names.replace("[", "array(").replace("]", ")")), (F.col("event_id") % n + 1).cast("int"))
+    e = _t(spark, d, "events").select("event_id", "value", pick(_MODELS, 7).alias("model"), pick(_PROVIDERS, 5).alias("provider"))
+    return e.select("event_id", "model", "provider", F.round(scalars.cost(F.col("model"), F.col("value") * 1000, F.col("value") * 100, F.col("provider")), 9).alias("cost"))
+
+
+_USAGE = (
+    '{"usage":{"prompt_tokens":#,"completion_tokens":7,"total_tokens":99,"prompt_tokens_details":{"cached_tokens":3,"cache_write_tokens":4},"completion_tokens_details":{"reasoning_tokens":5}}}',
+    '{"Usage":{"input_tokens":#,"output_tokens":8,"cache_creation_input_tokens":6,"cache_read_input_tokens":2}}',
+    '{"usageMetadata":{"promptTokenCount":#,"candidatesTokenCount":1,"totalTokenCount":0,"cachedContentTokenCount":9,"thoughtsTokenCount":4}}',
+    '{"usage":{"prompt_tokens":"#","output_tokens":-1},"message":{"usage":{"input_tokens":11}}}', "no json #",
+)
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 3 THEN 0 WHEN 4 THEN 0 ELSE event_id END::BIGINT AS input_tokens, [7, 8, 1, 0, 0][event_id % 5 + 1]::BIGINT AS output_tokens,
+    CASE event_id % 5 WHEN 0 THEN 99 WHEN 1 THEN event_id + 8 WHEN 2 THEN event_id + 1 ELSE 0 END::BIGINT AS total_tokens, [3, 2, 9, 0, 0][event_id % 5 + 1]::BIGINT AS cache_read_tokens,
+    [4, 6, 0, 0, 0][event_id % 5 + 1]::BIGINT AS cache_write_tokens, [5, 0, 4, 0, 0][event_id % 5 + 1]::BIGINT AS reasoning_tokens FROM events""", relations=False)
+def usage_numbers(spark, d):
     e = _t(spark, d, "events")
-    return e.select("event_id", F.round(scalars.cost(F.concat(F.lit("gpt-4o-"), F.col("event_type")), F.col("value") * 1000, F.col("value") * 100), 9).alias("cost"))
+    text = F.replace(F.element_at(F.array(*(F.lit(u) for u in _USAGE)), (F.col("event_id") % 5 + 1).cast("int")), F.lit("#"), F.col("event_id").cast("string"))
+    return e.select("event_id", scalars.usage(text).alias("u")).select("event_id", "u.*")
+
+
+@query("""SELECT user_id, sum(CASE event_id % 5 WHEN 3 THEN 11 WHEN 4 THEN 0 ELSE event_id END)::BIGINT AS input_tokens, sum([7, 8, 1, 0, 0][event_id % 5 + 1])::BIGINT AS output_tokens,
+    sum([3, 2, 9, 0, 0][event_id % 5 + 1])::BIGINT AS cache_read_tokens FROM events GROUP BY user_id""", relations=False)
+def usage_merged(spark, d):
+    text = F.replace(F.element_at(F.array(*(F.lit(u) for u in _USAGE)), (F.col("event_id") % 5 + 1).cast("int")), F.lit("#"), F.col("event_id").cast("string"))
+    return scalars.merged_usage(_t(spark, d, "events").select("user_id", text.alias("chunk")), "chunk", ["user_id"]).select("user_id", "input_tokens", "output_tokens", "cache_read_tokens")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN value WHEN 1 THEN event_id::DOUBLE WHEN 2 THEN NULL ELSE NULL END AS ttft FROM events""", relations=False)
+def ttft_resolution(spark, d):
+    own = F.when(F.col("event_id") % 4 == 0, F.col("value")).when(F.col("event_id") % 4 == 2, F.lit(-1.0))
+    metrics = F.when(F.col("event_id") % 4 < 3, F.concat(F.lit('{"ttft_ms":'), F.col("event_id").cast("string"), F.lit("}"))).otherwise('{"ttft_ms":"x"}')
+    return _t(spark, d, "events").select("event_id", scalars.ttft(own, metrics).alias("ttft"))
 
 
 # -- exchange -----------------------------------------------------------------------------------------
@@ -474,21 +588,28 @@ def revisions_upsert(spark, d):
     return exchange.upsert_revisions(latest(e.where("event_id < 500"), 40), latest(e.where("event_id >= 500"), 60), order=["at", "revision_id"])
 
 
-@query("""WITH p AS (SELECT session_id, call_id, min(append_pos) FILTER (kind = 'llm.request') AS asked, max(append_pos) FILTER (kind = 'llm.response') AS answered FROM log GROUP BY ALL)
-    SELECT session_id, count(*)::BIGINT AS entries, count(answered)::BIGINT AS answered FROM p WHERE asked IS NOT NULL GROUP BY session_id""")
+@query(_PAIRS + " SELECT session_id, count(*)::BIGINT AS entries, count(response)::BIGINT AS answered FROM c GROUP BY session_id")
 def har_export(spark, d):
-    har = exchange.har(over_tables(spark, d).events)
-    answered = F.filter("entries", lambda e: e.response.isNotNull())
-    return har.select("session_id", F.size("entries").cast("long").alias("entries"), F.size(answered).cast("long").alias("answered"))
+    parsed = F.from_json("har", "log struct<version string, creator struct<name string>, entries array<struct<request struct<method string, url string>, response struct<status long>>>>").log.entries
+    texts = exchange.har_json(over_tables(spark, d).events)
+    return texts.select("session_id", F.size(parsed).cast("long").alias("entries"), F.size(F.filter(parsed, lambda e: e.response.status > 0)).cast("long").alias("answered"))
 
 
-@query("SELECT append_pos, kind AS name, epoch_us(ts) * 1000 AS start_ns, session_id AS trace FROM log")
+@query("SELECT append_pos, kind AS name, epoch_us(timestamp) * 1000 AS start_ns, trace_id AS trace, call_id AS span, session_id AS owner, seq::VARCHAR AS number, json_extract(payload_json, '$.payload')::VARCHAR AS payload FROM log")
 def otlp_spans(spark, d):
-    return exchange.spans(over_tables(spark, d).events).select("append_pos", "name", "start_ns", "trace")
+    at = lambda i, kind: F.col("attributes")[i]["value"][kind]
+    return exchange.spans(over_tables(spark, d).events).select("append_pos", "name", "start_ns", "trace", "span", at(0, "stringValue").alias("owner"), at(2, "intValue").alias("number"), at(3, "stringValue").alias("payload"))
+
+
+@query("""SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY append_pos)::BIGINT - 1 AS seq, 'otel.span' AS kind, trace_id, call_id, kind AS name FROM log""")
+def otlp_import(spark, d):
+    rows = exchange.spans_from_json(exchange.spans_json(over_tables(spark, d).events), "otlp")
+    return rows.select("session_id", "seq", "kind", "trace_id", "call_id", F.get_json_object("payload_json", "$.payload.otel.name").alias("name"))
 
 
-@query("""WITH n AS (SELECT *, count(*) FILTER (kind = 'llm.request') OVER (PARTITION BY session_id ORDER BY append_pos) AS turn FROM log)
-    SELECT session_id, turn::BIGINT AS turn, count(*)::BIGINT AS events, min(append_pos) AS opened, max(append_pos) AS last, count(*) FILTER (kind = 'llm.response')::BIGINT AS responses FROM n GROUP BY session_id, turn""")
+@query("""WITH n AS (SELECT *, count(*) FILTER (kind IN ('llm.request', 'http.request')) OVER (PARTITION BY session_id ORDER BY append_pos) AS turn FROM log)
+    SELECT session_id, turn::BIGINT AS turn, count(*)::BIGINT AS events, min(append_pos) AS opened, max(append_pos) AS last,
+        count(*) FILTER (kind IN ('llm.response', 'llm.response.stream', 'http.response', 'http.response.stream'))::BIGINT AS responses FROM n GROUP BY session_id, turn""")
 def turn_windows(spark, d):
     return exchange.turns(over_tables(spark, d).events)
 
@@ -542,7 +663,7 @@ def unknown_keys(spark, d):
     return explorer.unknown_keys(pointers)
 
 
-@query("""WITH e AS (SELECT session_id, append_pos, kind, call_id, kind = 'llm.request' AS asks, kind = 'llm.response' AS answers, append_pos % 5 = 0 AS internal, append_pos % 3 = 0 AS spoken FROM log),
+@query("""WITH e AS (SELECT session_id, append_pos, kind, coalesce(call_id, 'unknown') AS call_id, kind = 'llm.request' AS asks, kind IN ('llm.response', 'llm.response.stream') AS answers, append_pos % 5 = 0 AS internal, append_pos % 3 = 0 AS spoken FROM log),
     o AS (SELECT *, count(*) FILTER (asks AND NOT internal) OVER s AS nth FROM e WINDOW s AS (PARTITION BY session_id ORDER BY append_pos)),
     t AS (SELECT *, nullif(count(*) FILTER (asks AND NOT internal AND (spoken OR nth = 1)) OVER s, 0) - 1 AS open FROM o WINDOW s AS (PARTITION BY session_id ORDER BY append_pos)),
     c AS (SELECT *, last_value(CASE WHEN asks THEN open END IGNORE NULLS) OVER w AS asked, first_value(CASE WHEN answers THEN open END IGNORE NULLS) OVER w AS answered FROM t

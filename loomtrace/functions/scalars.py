@@ -9,12 +9,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Prices per million tokens (prompt, completion) by model name part, in order of precedence.
-PRICES = (("gpt-4o", 2.5, 10.0), ("gpt-4", 30.0, 60.0), ("claude", 3.0, 15.0))
+#: Prices in US dollars per million tokens (input, output) by part of the model's name, in order of precedence.
+PRICES = (
+    ("gpt-4o", 2.5, 10.0), ("gpt-4o-mini", 0.15, 0.6), ("claude-3-5-sonnet", 3.0, 15.0), ("deepseek-chat", 0.27, 1.1), ("gemini-2.0-flash", 0.1, 0.4),
+)
+#: Prices of other models by provider; of other providers the last.
+PROVIDER_PRICES = (("anthropic", 3.0, 15.0), ("gemini", 0.15, 0.6), ("vertex", 0.15, 0.6), (None, 1.0, 2.0))
+#: Keys of a response's usage block, and of the numbers in it, in order of precedence.
+USAGE_KEYS = ("usage", "Usage", "usageMetadata")
+USAGE_NUMBERS = {
+    "input_tokens": ("prompt_tokens", "input_tokens", "promptTokenCount"), "output_tokens": ("completion_tokens", "output_tokens", "candidatesTokenCount"),
+    "total_tokens": ("total_tokens", "totalTokenCount"),
+    "cache_read_tokens": ("cachedContentTokenCount", "cache_read_input_tokens", "prompt_tokens_details.cached_tokens"),
+    "cache_write_tokens": ("cache_creation_input_tokens", "prompt_tokens_details.cache_write_tokens"), "reasoning_tokens": ("thoughtsTokenCount", "completion_tokens_details.reasoning_tokens"),
+}
 BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -95,14 +107,58 @@ def token_counts(usage: Column) -> Column:
     return F.struct(prompt.alias("prompt"), completion.alias("completion"), total.alias("total"))
 
 
-def cost(model: Column, prompt: Column, completion: Column) -> Column:
-    """Tokens times the price of the first table entry whose name is part of the model's."""
-    out = F.lit(None).cast("double")
+def usage(response: Column) -> Column:
+    """Token numbers of a response's JSON text, under any of the known keys; 0 for what is missing or no whole number."""
+    parsed = F.try_parse_json(response)
+    value = lambda path, kind: F.try_variant_get(parsed, f"$.{path}", kind)
+    block, numbers = lambda path, kind: value(path, kind), {}
+
+    def number(key: str, path: str) -> Column:
+        at = f"{key}.{path}"
+        whole = F.schema_of_variant(block(at, "variant")).isin("BIGINT")
+        return F.when(whole & (block(at, "long") >= 0), block(at, "long"))
+
+    def pick(key: str, name: str, paths: tuple[str, ...]) -> Column:
+        if name in ("input_tokens", "output_tokens", "total_tokens"):
+            return F.coalesce(*(number(key, p) for p in paths), F.lit(0))
+        out = F.lit(0)  # a key that is there decides, even where its value is no number
+        for p in reversed(paths):
+            out = F.when(block(f"{key}.{p}", "variant").isNotNull(), F.coalesce(number(key, p), F.lit(0))).otherwise(out)
+        return out
+
+    for name, paths in USAGE_NUMBERS.items():
+        out = F.lit(0)
+        for key in reversed(USAGE_KEYS):
+            out = F.when(value(key, "variant").isNotNull(), pick(key, name, paths)).otherwise(out)
+        numbers[name] = out.cast("long")
+    total = numbers["total_tokens"]
+    numbers["total_tokens"] = F.when(total == 0, numbers["input_tokens"] + numbers["output_tokens"]).otherwise(total)
+    return F.struct(*(c.alias(n) for n, c in numbers.items()))
+
+
+def merged_usage(rows: DataFrame, response: str, by: list[str]) -> DataFrame:
+    """Token numbers of the chunks of a streamed response (JSON texts, one per row), summed field by field; a chunk's ``message`` counts too."""
+    both = F.array(usage(F.col(response)), usage(F.get_json_object(response, "$.message")))
+    return rows.select(*by, F.explode(both).alias("u")).groupBy(*by).agg(*(F.sum(f"u.{n}").alias(n) for n in USAGE_NUMBERS))
+
+
+def cost(model: Column, prompt: Column, completion: Column, provider: Column | None = None) -> Column:
+    """Tokens times the price of the first table entry whose name is part of the model's, else of the provider's price."""
+    paid = lambda p, c: prompt / 1e6 * p + completion / 1e6 * c
+    out = paid(*PROVIDER_PRICES[-1][1:])
+    for name, p, c in reversed(PROVIDER_PRICES[:-1]):
+        out = out if provider is None else F.when(F.lower(provider) == name, paid(p, c)).otherwise(out)
     for name, p, c in reversed(PRICES):
-        out = F.when(F.instr(F.lower(model), name) > 0, prompt / 1e6 * p + completion / 1e6 * c).otherwise(out)
+        out = F.when(F.instr(F.lower(model), name) > 0, paid(p, c)).otherwise(out)
     return out
 
 
+def ttft(turn: Column, metrics: Column) -> Column:
+    """The turn's own time to the first token, else that of its metrics; only finite and not negative counts."""
+    value = F.coalesce(turn.cast("double"), F.get_json_object(metrics, "$.ttft_ms").try_cast("double"))
+    return F.when((value >= 0) & (value < math.inf) & ~F.isnan(value), value)
+
+
 def latency(turn: Column, metrics: Column) -> Column:
     """The turn's own latency, else the first of the known keys; only finite and not negative counts."""
     keys = ("latency_ms", "total_latency_ms", "upstream_latency_ms", "llm_infer_ms")

@@ -41,10 +41,10 @@ def agents(r: Relations) -> DataFrame:
     joined = r.runs.join(steps, DOCUMENT, "left").join(calls, DOCUMENT, "left")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return (
-        joined.groupBy("agent_id", "agent_version")
+        joined.groupBy("agent_id", "agent_name", "agent_version")
         .agg(F.count("*").alias("trajectories"), F.countDistinct("_file_").alias("sources"), total("s").alias("steps"), total("u").alias("user_steps"), total("a").alias("agent_steps"), total("t").alias("tool_calls"))
-        .withColumn("agent_version", F.coalesce("agent_version", F.lit("")))
-        .orderBy(F.desc("trajectories"), "agent_id", "agent_version")
+        .withColumns({c: F.coalesce(c, F.lit("")) for c in ("agent_name", "agent_version")})
+        .orderBy(F.desc("trajectories"), "agent_id", "agent_name", "agent_version")
     )
 
 
@@ -68,31 +68,38 @@ def tools(r: Relations) -> DataFrame:
 
 
 def event_stats(events: DataFrame) -> DataFrame:
-    """Per (file, session): rows, repeated event ids, terminal rank, last end payload, requests and responses."""
+    """Per (file, session): rows, repeated event ids, terminal rank, last end record, requests and responses."""
     kind = F.col("kind")
     rank = F.when(kind.isin("run.failed", "run.cancelled"), 3).when(kind == "run.completed", 2).when(kind == "session.ended", 1).otherwise(0)
     return events.groupBy("_file_", "session_id").agg(
         F.count("*").alias("row_count"), (F.count("event_id") - F.countDistinct("event_id")).alias("duplicates"), F.max(rank).alias("terminal_rank"),
-        F.max(F.when(kind == "session.ended", F.col("payload"))).alias("ended_payload"),
-        _count_if(kind.isin("llm.request", "http.request")).alias("requests"), _count_if(kind.isin("llm.response", "http.response")).alias("responses"),
+        F.max(F.when(kind == "session.ended", F.col("payload_json"))).alias("ended_payload"),
+        _count_if(kind == "llm.request").alias("requests"), _count_if(kind.isin("llm.response", "llm.response.stream")).alias("responses"),
     )
 
 
 def terminal_status(stats: DataFrame) -> DataFrame:
-    """Failed, completed or active, from the rank, else an exit code, else the calls' balance."""
-    code = F.coalesce(F.get_json_object("ended_payload", "$.exit_code"), F.lit("0")).cast("long")
-    balance = F.when((F.col("requests") > 0) & (F.col("responses") >= F.col("requests")), "completed").otherwise("active")
-    status = F.when(F.col("terminal_rank") >= 3, "failed").when(F.col("terminal_rank") == 2, "completed").when(F.col("terminal_rank") == 1, F.when(code != 0, "failed").otherwise("completed")).otherwise(balance)
+    """failed, completed, active or null, from the rank, else the end record's exit code, else the calls' balance.
+
+    Only a whole number in the record's payload is an exit code; without calls there is no status.
+    """
+    code = F.try_variant_get(F.try_parse_json("ended_payload"), "$.payload.exit_code", "variant")
+    code = F.when(F.schema_of_variant(code) == "BIGINT", F.try_variant_get(F.try_parse_json("ended_payload"), "$.payload.exit_code", "long"))
+    balance = F.when((F.col("requests") == 0) & (F.col("responses") == 0), F.lit(None)).when(F.col("responses") >= F.col("requests"), "completed").otherwise("active")
+    ended = F.when(code != 0, "failed").otherwise("completed")
+    status = F.when(F.col("terminal_rank") >= 3, "failed").when(F.col("terminal_rank") == 2, "completed").when(F.col("terminal_rank") == 1, ended).otherwise(balance)
     return stats.select("_file_", "session_id", "row_count", "duplicates", status.alias("status"))
 
 
-def run_summaries(r: Relations) -> DataFrame:
-    """Per run: its rows (events if it has any, else steps) and status, in order of path."""
+def run_summaries(r: Relations, metadata_status: Column | None = None) -> DataFrame:
+    """Per run: its rows and status, from its session's events if it has any, else its steps and what its metadata say (active, if nothing)."""
     steps = r.steps.groupBy(DOCUMENT).agg(F.count("*").alias("steps"))
-    found = terminal_status(event_stats(r.events)).select("_file_", F.concat(F.lit("c"), F.substring("session_id", 2, 100)).alias("document_id"), "row_count", "duplicates", "status")
+    found = terminal_status(event_stats(r.events)).withColumn("seen", F.lit(True))
+    told = F.lit("active") if metadata_status is None else F.coalesce(metadata_status, F.lit("active"))
+    status = F.when(F.col("seen"), F.coalesce("status", F.lit("active"))).otherwise(told)
     return (
-        r.runs.join(steps, DOCUMENT, "left").join(found, DOCUMENT, "left")
-        .select(F.concat_ws("/", "_file_", "document_id").alias("path"), "agent_id", F.coalesce("row_count", "steps", F.lit(0)).alias("row_count"), F.coalesce("duplicates", F.lit(0)).alias("duplicates"), F.coalesce("status", F.lit("active")).alias("status"))
+        r.runs.join(steps, DOCUMENT, "left").join(found, ["_file_", "session_id"], "left")
+        .select(F.concat_ws("/", "_file_", "document_id").alias("path"), "agent_id", F.coalesce("row_count", "steps", F.lit(0)).alias("row_count"), F.coalesce("duplicates", F.lit(0)).alias("duplicates"), status.alias("status"))
         .orderBy("path")
     )
 
@@ -153,14 +160,20 @@ def dimension_breakdown(steps: DataFrame, dimensions: tuple[str, ...] = ("source
 
 
 def trajectories(r: Relations) -> DataFrame:
-    """Runs with their steps' and calls' values as ordered arrays; one aggregation per side, null where a side is empty."""
-    def ordered(keys: tuple[str, ...], value: str) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.struct(*keys, F.col(value).alias("v")))), lambda x: x.v).alias(value)
-
-    steps = r.steps.groupBy(DOCUMENT).agg(F.count("*").alias("step_count"), F.array_sort(F.collect_list("step_id")).alias("step_ids"), ordered(("step_id",), "source"))
-    calls = r.tool_calls.groupBy(DOCUMENT).agg(F.count("*").alias("tool_call_count"), ordered(("step_id", "call_index"), "function_name"))
+    """Runs with their steps' and calls' values as six ordered arrays; one aggregation per side, null where a side is empty."""
+    def ordered(keys: tuple[str, ...], value: str, name: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.struct(*keys, F.col(value).alias("v")))), lambda x: x.v).alias(name)
+
+    step = lambda value, name: ordered(("step_id",), value, name)
+    call = lambda value, name: ordered(("step_id", "call_index"), value, name)
+    steps = r.steps.groupBy(DOCUMENT).agg(F.count("*").alias("step_count"), F.array_sort(F.collect_list("step_id")).alias("step_ids"), step("source", "step_sources"), step("message_json", "messages_json"))
+    calls = r.tool_calls.groupBy(DOCUMENT).agg(
+        F.count("*").alias("tool_call_count"), call("function_name", "tool_names"), call("arguments_json", "tool_arguments_json"), call("results_json", "tool_results_json")
+    )
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return r.runs.join(steps, DOCUMENT, "left").join(calls, DOCUMENT, "left").select(*[F.col(c) for c in r.runs.columns], zero("step_count"), "step_ids", F.col("source").alias("step_sources"), zero("tool_call_count"), F.col("function_name").alias("tool_names"))
+    return r.runs.join(steps, DOCUMENT, "left").join(calls, DOCUMENT, "left").select(
+        *[F.col(c) for c in r.runs.columns], zero("step_count"), "step_ids", "step_sources", "messages_json", zero("tool_call_count"), "tool_names", "tool_arguments_json", "tool_results_json"
+    )
 
 
 def status_counts(r: Relations) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-REQUEST, RESPONSE = ("llm.request", "http.request"), ("llm.response", "http.response")
+from .documents import ANSWERS as RESPONSE
+from .documents import ASKS as REQUEST
 
 
 def append_range(events: DataFrame, start: int, end: int) -> DataFrame:
@@ -37,13 +38,15 @@ def reconcile(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFr
 
 
 def call_pairs(events: DataFrame) -> DataFrame:
-    """Request and response of each call, the last response winning; calls without a request are left out."""
-    is_request, is_response = F.col("kind").isin(*REQUEST), F.col("kind").isin(*RESPONSE)
-    return (
-        events.groupBy("session_id", "call_id")
-        .agg(F.count(F.when(is_request, 1)).alias("requests"), F.max(F.when(is_request, F.col("payload"))).alias("request"), F.max_by("payload", F.when(is_response, F.col("append_pos"))).alias("response"))
-        .where("requests > 0").drop("requests")
-    )
+    """Request and response (records as structs) of each call, the last of either winning; calls without a request are left out.
+
+    An event without a call id is a call of its own, ``seq-`` and its number.
+    """
+    key = F.coalesce("call_id", F.concat(F.lit("seq-"), F.col("seq").cast("string"))).alias("call_id")
+    asks = F.instr("kind", "request") > 0
+    answers = ~asks & (F.instr("kind", "response") > 0)
+    record = F.struct("timestamp", "trace_id", F.get_json_object("payload_json", "$.payload").alias("payload"))
+    return events.groupBy("session_id", key).agg(F.max_by(record, F.when(asks, F.col("append_pos"))).alias("request"), F.max_by(record, F.when(answers, F.col("append_pos"))).alias("response")).where("request is not null")
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -52,7 +55,7 @@ def fold(events: DataFrame) -> DataFrame:
     ms = lambda c: F.unix_micros(F.to_timestamp(c))
     calls = events.groupBy("session_id", "call_id").agg(
         F.min("append_pos").alias("first_pos"), F.min(F.when(is_request, F.col("append_pos"))).alias("asked"), F.max(F.when(is_response, F.col("append_pos"))).alias("answered"),
-        F.max_by("payload", F.when(is_response, F.col("append_pos"))).alias("answer"), F.min(F.when(is_request, F.col("ts"))).alias("t0"), F.max(F.when(is_response, F.col("ts"))).alias("t1"),
+        F.max_by("payload_json", F.when(is_response, F.col("append_pos"))).alias("answer"), F.min(F.when(is_request, F.col("timestamp"))).alias("t0"), F.max(F.when(is_response, F.col("timestamp"))).alias("t1"),
     )
     turn = F.row_number().over(Window.partitionBy("session_id").orderBy("first_pos")).cast("long")
     whole = F.floor(ms("t1") / 1000) - F.floor(ms("t0") / 1000)

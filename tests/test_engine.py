@@ -94,7 +94,7 @@ def test_samplers(spark):
 
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, f"s{i % 3}", f"c{i // 2}", "llm.request" if i % 2 == 0 else "llm.response", f"p{i}", f"2026-01-01 00:00:{i:02d}") for i in range(24)]
-    log = spark.createDataFrame(rows, "append_pos long, session_id string, call_id string, kind string, payload string, t string").selectExpr("append_pos", "concat('s', cast(call_id = 'c1' as string)) as session_id", "call_id", "kind", "payload", "to_timestamp(t) as ts")
+    log = spark.createDataFrame(rows, "append_pos long, session_id string, call_id string, kind string, payload_json string, t string").selectExpr("append_pos", "concat('s', cast(call_id = 'c1' as string)) as session_id", "call_id", "kind", "payload_json", "to_timestamp(t) as timestamp")
     path, target = str(tmp_path / "log"), tables.Table(spark, str(tmp_path / "fold"))
     for part in (log.where("append_pos < 9"), log.where("append_pos >= 9")):
         part.write.mode("append").parquet(path)
