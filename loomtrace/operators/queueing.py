@@ -142,7 +142,7 @@ class KeyValue:
         """One row per requested key, in the order of the request; an absent key has null for value."""
         spark = self.table.spark
         wanted = spark.createDataFrame(list(enumerate(keys)), "__place long, key string")
-        stored = spark.createDataFrame([], self.SCHEMA) if self.table.current() is None else self.table.read().where(F.col("key").isin(keys))
+        stored = spark.createDataFrame([], self.SCHEMA) if self.table.current() is None else self.table.read().join(wanted.select("key").distinct(), "key", "left_semi")
         return wanted.join(stored, "key", "left").orderBy("__place").select("key", "value", "tags")
 
     def list(self, **tags: str) -> DataFrame:
@@ -154,4 +154,6 @@ class KeyValue:
 
     def clear(self, keys: list[str] | None = None) -> None:
         rows = self.table.read()
-        self.table.replace(rows.where(F.lit(False) if keys is None else ~F.col("key").isin(keys)))
+        if keys is not None:
+            rows = rows.join(self.table.spark.createDataFrame([(k,) for k in keys], "key string").distinct(), "key", "left_anti")
+        self.table.replace(rows if keys is not None else rows.limit(0))

@@ -1,7 +1,7 @@
 """Partitioned tables: value and hash partitions, upsert, update, delete, new columns.
 
-A table is Parquet under generation folders and a pointer file that names the current one, so a reader
-sees either all of a change or none of it.
+A table is Parquet in folders that the last of its numbered manifests lists, so a reader sees either all of a change or
+none of it, an append adds a folder, and of two writers one is told to start anew.
 """
 
 from __future__ import annotations
@@ -10,13 +10,15 @@ import hashlib
 import json
 import re
 import uuid
-from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .manifests import Conflict, Manifests
+
 
 @F.pandas_udf(T.LongType())
 def _text_hash(values: pd.Series) -> pd.Series:
@@ -120,37 +122,58 @@ def ordered_concat(rows: DataFrame, partition: str, order: str, limit: int, asce
     return rows.orderBy(partition, key, *[c for c in rows.columns if c not in (partition, order)]).limit(limit)
 
 
-@dataclass
+#: How often an append starts anew when other writers were first.
+ATTEMPTS = 20
+
+
 class Table:
     """A table in a folder; ``partition`` is None, ("value", column) or ("hash", column, buckets)."""
 
-    spark: SparkSession
-    path: str
-    partition: tuple | None = None
-    _fs: object = field(default=None, repr=False)
+    def __init__(self, spark: SparkSession, path: str, partition: tuple | None = None):
+        self.spark, self.path, self.partition = spark, path.rstrip("/"), partition
+        self._log = Manifests(spark, path)
 
-    def _file(self, name: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def current(self) -> str | None:
+        """A name of the table's present state; None before the first write."""
+        number, body = self._log.last()
+        return None if body is None else str(number)
 
-    def _pointer(self) -> dict | None:
-        p, fs = self._file("CURRENT")
-        return json.loads(self.spark.read.text(p.toString(), wholetext=True).first()[0]) if fs.exists(p) else None
+    def exists(self) -> bool:
+        return self.current() is not None
 
-    def current(self) -> str | None:
-        return None if (found := self._pointer()) is None else found["generation"]
+    def _last(self) -> tuple[int, dict]:
+        number, body = self._log.last()
+        if body is None:
+            raise FileNotFoundError(self.path)
+        return number, body
+
+    def schema(self) -> T.StructType:
+        return T.StructType.fromJson(json.loads(self._last()[1]["schema"]))
+
+    def _rows(self, body: dict) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(body["schema"]))
+        if not body["parts"]:
+            return self.spark.createDataFrame([], schema)
+        held = self.spark.read.schema(schema).option("basePath", f"{self.path}/parts")
+        return held.parquet(*(f"{self.path}/parts/{p}" for p in body["parts"])).select(*(F.col(f"`{c}`") for c in schema.names))
 
     def read(self) -> DataFrame:
         """The current rows, in the columns and types they were given in, even when there are none."""
-        if (found := self._pointer()) is None:
-            raise FileNotFoundError(self.path)
-        schema = T.StructType.fromJson(json.loads(found["schema"]))
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{found['generation']}").select(*(F.col(f"`{c}`") for c in schema.names))
-
-    def replace(self, rows: DataFrame) -> None:
-        """Write a new generation, then move the pointer to it by a rename."""
-        generation = f"generation-{uuid.uuid4().hex}"
+        return self._rows(self._last()[1])
+
+    def partitions(self) -> list[str]:
+        """Values of the partition column, as text, from the folders' names alone."""
+        if not self.partition or self.partition[0] != "value":
+            raise ValueError("not partitioned by value")
+        found, (_, body) = set(), self._last()
+        for part in body["parts"]:
+            where, fs = self._log.at(f"parts/{part}")
+            found |= {n.split("=", 1)[1] for s in fs.listStatus(where) if (n := s.getPath().getName()).startswith(f"{self.partition[1]}=")}
+        return sorted(unquote(v) for v in found)
+
+    def _write(self, rows: DataFrame) -> str:
+        """Write a folder that no manifest names yet."""
+        part = f"__part={uuid.uuid4().hex}"  # read as one table, whatever the partition
         writer = rows.write
         if self.partition and self.partition[0] == "hash":
             _, column, buckets = self.partition
@@ -158,21 +181,107 @@ class Table:
             writer = tagged.hint("rebalance", "__bucket").write.partitionBy("__bucket")  # adaptive execution cuts a large bucket into several files
         elif self.partition:
             writer = rows.hint("rebalance", self.partition[1]).write.partitionBy(self.partition[1])
-        writer.parquet(f"{self.path}/{generation}")
-        p, fs = self._file(f"CURRENT-{generation}")
-        out = fs.create(p, True)
-        out.write(bytearray(json.dumps({"generation": generation, "schema": rows.schema.json()}).encode()))
-        out.close()
-        target, _ = self._file("CURRENT")
-        fs.delete(target, False)
-        fs.rename(p, target)
+        writer.parquet(f"{self.path}/parts/{part}")
+        return part
+
+    def create(self, rows: DataFrame, mode: str = "create") -> None:
+        """Make the table; ``create`` fails if there is one, ``overwrite`` replaces it, ``exist_ok`` leaves it as it is."""
+        if mode not in ("create", "overwrite", "exist_ok"):
+            raise ValueError(f"unknown mode {mode!r}")
+        if self.exists() and mode != "overwrite":
+            if mode == "create":
+                raise FileExistsError(self.path)
+            return
+        self.replace(rows)
+
+    def replace(self, rows: DataFrame, after: int | None = None) -> None:
+        """Make ``rows`` the table; a Conflict if another writer was first since ``after`` (the present state, if not given)."""
+        after = self._log.last()[0] if after is None else after
+        self._log.publish(after, {"parts": [self._write(rows)], "schema": rows.schema.json()})
 
     def add(self, rows: DataFrame) -> None:
-        self.replace(self.read().unionByName(rows) if self.current() else rows)
+        """Append rows in a folder of their own; nothing that is there is written again."""
+        number, body = self._log.last()
+        if body is None:
+            return self.replace(rows, 0)
+        schema = T.StructType.fromJson(json.loads(body["schema"]))
+        part = self._write(rows.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields)))
+        for _ in range(ATTEMPTS):
+            try:
+                self._log.publish(number, {"parts": [*body["parts"], part], "schema": body["schema"]})
+                return None
+            except Conflict:
+                number, body = self._last()
+                if T.StructType.fromJson(json.loads(body["schema"])) != schema:
+                    raise
+        raise Conflict(f"{ATTEMPTS} attempts")
+
+    def _change(self, make) -> None:
+        """Replace the rows by a function of them, started anew if another writer was first."""
+        for _ in range(ATTEMPTS):
+            number, body = self._last()
+            try:
+                return self.replace(make(self._rows(body)), number)
+            except Conflict:
+                continue
+        raise Conflict(f"{ATTEMPTS} attempts")
 
     def upsert(self, changes: DataFrame, keys: list[str]) -> None:
-        self.replace(upsert(self.read(), changes, keys))
+        self._change(lambda rows: upsert(rows, changes, keys))
+
+    def update(self, condition: Column, **values: Column) -> None:
+        self._change(lambda rows: update(rows, condition, **values))
+
+    def delete(self, condition: Column) -> None:
+        self._change(lambda rows: delete(rows, condition))
+
+    def add_columns(self, **expressions: str) -> None:
+        self._change(lambda rows: add_columns(rows, **expressions))
+
+    def optimize(self) -> int:
+        """Write many folders as one; returns how many there were. Rows and their types stay."""
+        number, body = self._last()
+        if len(body["parts"]) > 1:
+            self.replace(self._rows(body), number)
+        return len(body["parts"])
+
+    def vacuum(self) -> int:
+        """Delete folders that the last manifest does not name; not to be run beside writers."""
+        gone = self._log.unnamed("parts", set(self._last()[1]["parts"]))
+        for name in gone:
+            self._log.delete(name)
+        return len(gone)
+
+    def drop(self) -> None:
+        self._log.delete()
 
     def count_rows(self, condition: str | None = None) -> int:
         rows = self.read()
         return (rows.where(condition) if condition else rows).count()
+
+    def filter(self, condition: str | None = None, columns: list[str] | None = None, order: str | None = None, limit: int | None = None, offset: int = 0, ascending: bool = True) -> DataFrame:
+        """Rows that fit, in the columns asked for; conditions on a value partition prune its folders at the scan."""
+        rows = self.read()
+        rows = rows.where(condition) if condition else rows
+        if order:
+            rows = rows.orderBy(F.asc(order) if ascending else F.desc(order))
+        rows = rows.offset(offset) if offset else rows
+        rows = rows if limit is None else rows.limit(limit)
+        return rows.select(*columns) if columns else rows
+
+    def to_pandas(self, max_rows: int = 100_000) -> pd.DataFrame:
+        """All rows; more than ``max_rows`` are an error, not a cut."""
+        found = self.read().limit(max_rows + 1).toPandas()
+        if len(found) > max_rows:
+            raise ValueError(f"more than {max_rows} rows")
+        return found
+
+
+def list_tables(spark: SparkSession, root: str) -> list[str]:
+    """Names of the tables in a folder."""
+    log = Manifests(spark, root)
+    where, fs = log.at("x")
+    where = where.getParent()
+    if not fs.exists(where):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory() and Manifests(spark, s.getPath().toString()).last()[1] is not None)
