@@ -105,9 +105,9 @@ class EventLog:
         segment = {"path": name, "level": 0, "first": before.rows, "rows": n}
         return self._publish(before, segments=[*before.segments, segment], rows=before.rows + n, fact_version=before.fact_version + 1)
 
-    def read(self, start: int | None = None, end: int | None = None) -> DataFrame:
-        """Published events (unordered); of a half-open range of positions only the segments that hold it are read."""
-        found = self.manifest()
+    def read(self, start: int | None = None, end: int | None = None, manifest: Manifest | None = None) -> DataFrame:
+        """Published events (unordered), as of a manifest (the last one); of a half-open range of positions only the segments that hold it are read."""
+        found = manifest or self.manifest()
         chosen = [s for s in found.segments if (start is None or s["first"] + s["rows"] > start) and (end is None or s["first"] < end)]
         if not found.segments:
             raise FileNotFoundError(self.path)
