@@ -153,7 +153,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     touched, whole = sieved(held, F.xxhash64("own", "th"), gone, F.xxhash64("id", "th"))
     gone = gone.select(F.col("id").alias("other"), F.col("th").alias("other_th"), "gone")
     touched = touched.join(gone, F.col("own").eqNullSafe(F.col("other")) & (F.col("th") == F.col("other_th")), "left")
-    clean = F.pandas_udf(_clean, "text string, n_lines long, n_removed long, n_runs long")
+    clean = F.pandas_udf(_clean, "text string, n_lines long, n_removed long, n_runs long").asNondeterministic()  # so that a filter on it does not compute it again
     touched = touched.withColumn("done", clean(content, F.coalesce("gone", F.array().cast("array<int>"))))
     cleaned = F.when(F.col("gone").isNull(), F.col(name[text_col])).otherwise(F.col("done.text"))
     plain = F.struct(F.size(F.split(content, "\n")).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_runs"))
