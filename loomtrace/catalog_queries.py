@@ -430,6 +430,19 @@ def ivf_search(spark, d):
     return index.search(first, 10, nprobes=len(index.centroids)).select("vec_id", F.round("_distance", 5).alias("d"))
 
 
+@query()
+def ivf_recall(spark, d):
+    """Share of the ten nearest that a search finds, by the clusters it reads."""
+    vectors = _t(spark, d, "embeddings")
+    asked = [r[0] for r in vectors.where("vec_id < 5").select("embedding").collect()]  # five rows
+    index = ivf.Index.over(vectors, len(asked[0]))
+    rows = []
+    for probes in (1, 4, 16, len(index.centroids)):
+        found = [(index.search(q, 10, probes).select("vec_id"), search.knn(vectors, q, 10).select("vec_id")) for q in asked]
+        rows.append((probes, sum(a.join(b, "vec_id").count() for a, b in found) / (10 * len(asked))))
+    return spark.createDataFrame(rows, "nprobes int, recall double")
+
+
 @query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
     c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'que')) AS b FROM t),
     s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)
@@ -451,8 +464,8 @@ def hybrid_search(spark, d):
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P')", relations=False)
 def value_partition_filter(spark, d):
     orders = _t(spark, d, "orders")
-    kept = [r[0] for r in orders.select("o_orderstatus").distinct().collect() if tables.partition_matches("o_orderstatus = 'F' OR o_orderstatus IN ('P')", "o_orderstatus", r[0])]
-    return orders.where(F.col("o_orderstatus").isin(kept)).select("o_orderkey", "o_orderstatus")
+    kept = tables.matching_partitions(orders.select("o_orderstatus").distinct(), "o_orderstatus", "o_orderstatus = 'F' OR o_orderstatus IN ('P')")
+    return orders.join(kept, "o_orderstatus", "left_semi").select("o_orderkey", "o_orderstatus")
 
 
 @query("SELECT o_custkey % 8 AS bucket, count(*)::BIGINT AS n FROM orders GROUP BY 1", relations=False)
@@ -515,6 +528,47 @@ def compact_text(spark, d):
     return _t(spark, d, "documents").select("doc_id", scalars.compact(F.col("text"), 180).alias("short"))
 
 
+@query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+    c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'que')) AS b FROM d),
+    s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c),
+    r AS (SELECT doc_id, ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)) AS score FROM c, s WHERE a + b > 0)
+    SELECT doc_id, round(score, 6) AS score FROM r ORDER BY r.score DESC, doc_id LIMIT 25""", relations=False)
+def fts_topk(spark, d):
+    return search.bm25(_t(spark, d, "documents"), ["the", "que"], k=25).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT event_id, 'v' || event_type AS found FROM events", relations=False)
+def find_string(spark, d):
+    text = F.concat(F.lit('[{"a":{"k":'), F.col("event_id").cast("string"), F.lit('}},{"b":[{"k":"v'), F.col("event_type"), F.lit('"}]}]'))
+    return _t(spark, d, "events").select("event_id", scalars.find_string(text, F.lit("k")).alias("found"))
+
+
+@query("SELECT event_id, event_id % 4 < 3 AS failed FROM events", relations=False)
+def error_predicate(spark, d):
+    shown = F.array(*(F.lit(x) for x in ('{"a":[{"status":"FAILED"}]}', '{"x":{"status_code":404}}', '{"error_type":"E"}', '{"status":"ok","status_code":200,"error_type":""}')))
+    return _t(spark, d, "events").select("event_id", scalars.is_error(F.element_at(shown, (F.col("event_id") % 4 + 1).cast("int"))).alias("failed"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN value WHEN 1 THEN event_id::DOUBLE WHEN 2 THEN 7.5 END AS latency FROM events", relations=False)
+def latency_resolution(spark, d):
+    at = F.col("event_id") % 4
+    own = F.when(at == 0, F.col("value"))
+    metrics = F.when(at == 1, F.concat(F.lit('{"llm_infer_ms":3,"total_latency_ms":'), F.col("event_id").cast("string"), F.lit("}"))).when(at == 2, '{"upstream_latency_ms":"7.5"}').otherwise('{"latency_ms":-1}')
+    return _t(spark, d, "events").select("event_id", scalars.latency(own, metrics).alias("latency"))
+
+
+@query("""WITH x AS (SELECT conv_id, turn, text FROM conversations WHERE text <> '') SELECT conv_id, turn, 2.0 * 3 / (3 + 3 + turn % 4)::DOUBLE AS ratio FROM x""", relations=False)
+def partial_similarity(spark, d):
+    more = F.substring(F.lit("xyz"), F.lit(1), (F.col("turn") % 4).cast("int"))
+    return _t(spark, d, "conversations").where("text <> ''").select("conv_id", "turn", scalars.similarity(F.lit(" a  b "), F.concat(F.lit("a b"), more)).alias("ratio"))
+
+
+@query("WITH RECURSIVE n(i) AS (SELECT 0 UNION ALL SELECT i + 1 FROM n WHERE i < 9), k AS (SELECT o_custkey % 10 AS i, count(*) AS n FROM orders GROUP BY 1) SELECT n.i, k.n::BIGINT AS n FROM n JOIN k ON n.i = k.i", relations=False)
+def with_query(spark, d):
+    _t(spark, d, "orders").createOrReplaceTempView("with_query_orders")
+    return spark.sql("WITH n AS (SELECT explode(sequence(0, 9)) AS i), k AS (SELECT o_custkey % 10 AS i, count(*) AS n FROM with_query_orders GROUP BY 1) SELECT n.i, k.n FROM n JOIN k ON n.i = k.i")
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k')::DOUBLE AS number FROM events", relations=False)
 def find_number(spark, d):
     return _t(spark, d, "events").select("event_id", scalars.find_number(F.concat(F.lit('{"a": [{"b": '), F.col("props"), F.lit("}]}")), F.lit("k")).alias("number"))

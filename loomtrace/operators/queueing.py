@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tables
 
+#: Requested rows up to which a request is broadcast.
+BROADCAST_ROWS = 100_000
 
 def ready(rows: DataFrame, consumed: DataFrame, task: str, index: str = "idx") -> DataFrame:
     """Rows that the task has not consumed; other tasks' marks do not count."""
@@ -49,7 +55,7 @@ class Sampler:
 
 class SequentialSampler(Sampler):
     def sample(self, ready: list[int], n: int) -> tuple[list[int], list[int]]:
-        return ready[:n], ready[:n]
+        return list(ready[:n]), list(ready[:n])
 
 
 class RankAwareSampler(Sampler):
@@ -63,7 +69,7 @@ class RankAwareSampler(Sampler):
         if key not in self.seen:
             if len(ready) < n:
                 return [], []
-            self.seen[key] = ready[:n]
+            self.seen[key] = list(ready[:n])
         return self.seen[key], self.seen[key]
 
 
@@ -78,7 +84,7 @@ class GroupSampler(Sampler):
             raise ValueError("the batch must be a multiple of the group")
         out, at = [], 0
         while at + self.group <= len(ready) and len(out) < n:
-            part = ready[at : at + self.group]
+            part = list(ready[at : at + self.group])
             if part[-1] - part[0] == self.group - 1 and part == sorted(set(part)):
                 out += part
                 at += self.group
@@ -94,7 +100,7 @@ def get(rows: DataFrame, limit: int, offset: int = 0, index: str = "idx") -> Dat
 def by_indices(rows: DataFrame, wanted: list[int], index: str = "idx") -> DataFrame:
     """Rows in the order of the request; a repeated index gives its row again, an absent one none."""
     places = rows.sparkSession.createDataFrame(list(enumerate(wanted)), f"__place long, {index} long")
-    return rows.join(F.broadcast(places), index).orderBy("__place").drop("__place").select(*rows.columns)  # as long as the request
+    return rows.join(F.broadcast(places) if len(wanted) <= BROADCAST_ROWS else places, index).orderBy("__place").drop("__place").select(*rows.columns)  # as long as the request
 
 
 def mark(consumed: DataFrame, rows: DataFrame, task: str, index: str = "idx") -> DataFrame:
@@ -157,3 +163,80 @@ class KeyValue:
         if keys is not None:
             rows = rows.join(self.table.spark.createDataFrame([(k,) for k in keys], "key string").distinct(), "key", "left_anti")
         self.table.replace(rows if keys is not None else rows.limit(0))
+
+
+class Queue:
+    """Records under dense indexes from 0, kept in a table; what is put waits on the driver until a batch is full or flushed.
+
+    The buffer holds ``batch`` records at most; an append adds a folder to the table and rewrites nothing.
+    """
+
+    def __init__(self, table: tables.Table, schema: str, batch: int = 1000):
+        self.table, self.batch = table, batch
+        self._given = T.StructType.fromDDL(schema)
+        self._schema = T.StructType([T.StructField("idx", T.LongType()), *self._given.fields])
+        self._buffer: list[dict] = []
+        self._changed = threading.Condition(threading.RLock())
+        self._kept = table.count_rows() if table.exists() else 0
+
+    def total_count(self) -> int:
+        with self._changed:
+            return self._kept + len(self._buffer)
+
+    def put(self, record: dict) -> None:
+        self.put_batch([record])
+
+    def put_batch(self, records: list[dict]) -> None:
+        with self._changed:
+            for record in records:
+                self._buffer.append(record)
+                if len(self._buffer) >= self.batch:
+                    self.flush()
+            self._changed.notify_all()
+
+    def flush(self) -> None:
+        """Write what waits; if that fails, it waits on."""
+        with self._changed:
+            if self._buffer:
+                rows = [(self._kept + i, *(r.get(f.name) for f in self._given.fields)) for i, r in enumerate(self._buffer)]
+                self.table.add(self.table.spark.createDataFrame(rows, self._schema))
+                self._kept, self._buffer = self._kept + len(rows), []
+
+    def get(self, limit: int, offset: int = 0) -> list[dict]:
+        """Records from an index on, in order; at most ``limit``, which the caller bounds."""
+        with self._changed:
+            stored = []
+            if offset < self._kept:
+                rows = self.table.read().where((F.col("idx") >= offset) & (F.col("idx") < offset + limit)).orderBy("idx")
+                stored = [{f.name: r[f.name] for f in self._given.fields} for r in rows.collect()]
+            start = max(0, offset - self._kept)
+            return stored + self._buffer[start : start + max(0, limit - len(stored))]
+
+    def get_by_indices(self, wanted: list[int]) -> list[dict]:
+        """Records in the order of the request; an absent index gives none."""
+        self.flush()
+        if not self.table.exists():
+            return []
+        return [{f.name: r[f.name] for f in self._given.fields} for r in by_indices(self.table.read(), wanted).collect()]
+
+    def get_stream(self, limit: int, offset: int = 0, wait: bool = False, timeout: float | None = None, step: int = 100) -> Iterator[list[dict]]:
+        """Batches of records from an index on, up to ``limit``; at the end it waits for more, if asked to, or stops."""
+        at, left = offset, limit
+        while left > 0:
+            with self._changed:
+                if at >= self.total_count() and not (wait and self._changed.wait_for(lambda at=at: at < self.total_count(), timeout)):
+                    return
+                found = self.get(min(left, step), at)
+            if not found:
+                return
+            yield found
+            at, left = at + len(found), left - len(found)
+
+
+def sampled_batch(queue: Queue, sampler: Sampler, n: int, offset: int = 0, **how) -> tuple[list[dict], int]:
+    """One batch in the sampler's order, and the offset moved on by what it consumed."""
+    total = queue.total_count()
+    if offset >= total:
+        return [], offset
+    sampled, consumed = sampler.sample(range(offset, total), n, **how)
+    return (queue.get_by_indices(list(sampled)), offset + len(consumed)) if sampled else ([], offset)

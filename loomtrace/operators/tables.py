@@ -116,6 +116,12 @@ def partition_matches(condition: str, column: str, value: str) -> bool:
         return False
 
 
+def matching_partitions(values: DataFrame, column: str, condition: str) -> DataFrame:
+    """The partition values (one row each) that fit a condition; nothing is brought to the driver."""
+    fits = F.pandas_udf(lambda v: v.map(lambda x: x is not None and partition_matches(condition, column, str(x))), T.BooleanType())
+    return values.where(fits(F.col(column)))
+
+
 def ordered_concat(rows: DataFrame, partition: str, order: str, limit: int, ascending: bool = True) -> DataFrame:
     """Partitions one after the other, each sorted by ``order``; the limit runs across them."""
     key = F.asc(order) if ascending else F.desc(order)
