@@ -399,7 +399,8 @@ def document_runs(spark, d):
     return documents.fold_events(over_tables(spark, d).events).runs.select("_file_", "document_id", "agent_id", "agent_model_name")
 
 
-@query(_DOCUMENTS + """ SELECT session_id, step_id, seq FROM s WHERE seq IS NOT NULL""")
+@query(_DOCUMENTS + """ SELECT session_id, step_id, seq FROM s WHERE seq IS NOT NULL
+    UNION ALL SELECT s.session_id, s.step_id, e.seq FROM s JOIN e ON s.session_id = e.session_id AND s.call_id = e.call_id WHERE s.seq IS NULL""")
 def document_links(spark, d):
     events = over_tables(spark, d).events
     return documents.linked_events(documents.fold_events(events).steps, events).select("session_id", "step_id", "seq")
