@@ -54,7 +54,7 @@ def test_pages_status_external(spark, folder):
     assert [f.name for f in first + rest] == [f"f{k}.json" for k in range(4)] and end is None and c.describe("f1.json").size > 0
     with pytest.raises(ValueError):
         c.page("other:0")
-    assert c.status() == {"status": "ready", "ready_sources": 4, "error_sources": 0, "counts_complete": True, "runs": 4, "steps": 4, "tool_calls": 0}
+    assert c.status() == {"status": "ready", "ready_sources": 4, "error_sources": 0, "counts_complete": True, "runs": 4, "steps": 4, "tool_calls": 0, "events": 0}
     (folder / "bad.json").write_text("{")
     assert catalog.Catalog(spark, str(folder)).status()["status"] == "degraded"
     (folder / "t.csv").write_text('k,v\n1,"a ""b"""\n')
